@@ -1,8 +1,9 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import bpe, langid, mixing, pii, quality
+from . import bpe, langid, mixing, omh, pii, quality
 
 QUERIES = {
+    "op1_omh": omh.query,
     "op5_language_id": langid.query,
     "op6_mixing": mixing.query,
     "op7_bpe": bpe.query,
