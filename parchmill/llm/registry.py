@@ -1,13 +1,14 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import bpe, langid, mixing, omh, pii, quality
+from . import bpe, langid, mixing, omh, pii, quality, spans
 
 QUERIES = {
     "op1_omh": omh.query,
+    "op2_sentence_spans": spans.query,
     "op5_language_id": langid.query,
     "op6_mixing": mixing.query,
     "op7_bpe": bpe.query,
     "op8_quality": quality.query,
     "op9_pii": pii.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_sentence_spans": spans.ORACLE}
