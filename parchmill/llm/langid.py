@@ -23,8 +23,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import binary, read, slices
 
@@ -213,27 +214,45 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     return train([bytes(r["bytes"]) for r in got], [r["lang"] for r in got])
 
 
+def _verdicts(m: Model | None, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, list[bool]]:
+    texts = [b if b and not b.isspace() else b"" for b in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+    if m is None:
+        names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    else:
+        mean = pooled(m, np.frombuffer(b"".join(texts), np.uint8), offsets)
+        best = mean.max(1)
+        names = [m.labels[k] if c else UNKNOWN for k, c in zip(mean.argmax(1), best, strict=True)]
+    return names, best, [n != UNKNOWN and c >= MIN_CONFIDENCE for n, c in zip(names, best.tolist(), strict=True)]
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """Language, confidence and verdict for each row of ``docs(doc_id, text)``; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in slices(batches, "text"):
-            texts = [b if b and not b.isspace() else b"" for b in binary(batch.column(1)).to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
-            if m is None:
-                names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            else:
-                mean = pooled(m, np.frombuffer(b"".join(texts), np.uint8), offsets)
-                best = mean.max(1)
-                names = [m.labels[k] if c else UNKNOWN for k, c in zip(mean.argmax(1), best, strict=True)]
-            good = [n != UNKNOWN and c >= MIN_CONFIDENCE for n, c in zip(names, best.tolist(), strict=True)]
+            names, best, good = _verdicts(shared.value, binary(batch.column(1)).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(np.round(best, 6)), pa.array(good, pa.bool_())], names=["doc_id", "lang_pred", "confidence", "accepted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def accepted_language(spark: SparkSession, text: Column, model: Model | None) -> Column:
+    """The language of an accepted text, null for a rejected one: :func:`identify` as an expression."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        out: list[str | None] = []
+        for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text"):
+            names, _, good = _verdicts(shared.value, binary(part.column(0)).to_pylist())
+            out += [n if g else None for n, g in zip(names, good, strict=True)]
+        return pa.array(out, pa.string())
+
+    return run(text.cast("string"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return identify(docs, fit(docs))

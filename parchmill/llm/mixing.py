@@ -27,7 +27,8 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, mix, read
@@ -139,12 +140,16 @@ def _fly(seed: int, last: bool):
     return run
 
 
+def row_key() -> Column:
+    """A hash of doc_id, source and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+
+
 def sample(docs: DataFrame, temper: float = TEMPER, seed: int = SEED, group: int = GROUP) -> DataFrame:
     """``(doc_id, source, n_tokens, rate, k)`` of the documents drawn from ``docs(doc_id, text, source)``.
 
-    Only ids, sources and token counts are shuffled, never texts. ``k`` is a
-    hash of the whole row that tells rows with one id apart; ``n`` numbers
-    equal rows.
+    Only ids, sources and token counts are shuffled, never texts. ``k`` is
+    :func:`row_key`.
     """
     text = F.col("text").cast("string")
     units = materialize(
@@ -152,7 +157,7 @@ def sample(docs: DataFrame, temper: float = TEMPER, seed: int = SEED, group: int
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.coalesce(F.size(F.filter(F.split(text, r"[ \t\r\n\x0B\f]+"), lambda w: w != "")), F.lit(0)).cast("long").alias("t"),
-            F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), text).alias("k"),
+            row_key().alias("k"),
         ),
         "mix-units",
     )
@@ -186,5 +191,13 @@ def sample(docs: DataFrame, temper: float = TEMPER, seed: int = SEED, group: int
     return drawn.union(materialize(final, "mix-landing")).select("doc_id", "source", F.col("t").alias("n_tokens"), F.round("rate", 9).alias("rate"), "k")
 
 
+def drawn(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`sample` draws; of equal rows as many as were drawn."""
+    wanted = sample(docs).groupBy(F.col("k").alias("__pm_k")).agg(F.count("*").alias("__pm_n"))
+    keyed = docs.withColumn("__pm_k", row_key()).join(wanted, "__pm_k")
+    nth = F.row_number().over(W.partitionBy("__pm_k").orderBy("__pm_k"))
+    return keyed.withColumn("__pm_nth", nth).where("__pm_nth <= __pm_n").select(*[f"`{c}`" for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample(read(spark, sf_dir, "documents")).drop("k")

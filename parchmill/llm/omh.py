@@ -311,5 +311,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one document of each group stays.
+
+    Rows equal in doc_id and text are copies too, of which one stays; rows without doc_id all stay.
+    """
+    gone = near_duplicates(docs).select(F.col("doc_id").alias("__pm_id"))
+    row = docs.withColumn("__pm_id", F.col("doc_id").cast("long")).withColumn("__pm_k", F.xxhash64(F.col("text").cast("string")))
+    nth = F.row_number().over(W.partitionBy("__pm_id", "__pm_k").orderBy("__pm_k"))
+    kept = row.join(gone, "__pm_id", "left_anti").withColumn("__pm_nth", nth)
+    return kept.where("__pm_nth = 1 or __pm_id is null").select(*[f"`{c}`" for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
