@@ -290,7 +290,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    words = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_word_arrays, "doc_id bigint, key binary, words binary")
+    # a merge join at every size: with few ids they would be broadcast, with many not, and no small run would foretell a large one
+    words = texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_word_arrays, "doc_id bigint, key binary, words binary")
     words = materialize(words.groupBy("doc_id").agg(F.min_by("words", "key").alias("words")), "omh-words")
     joined = pairs.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b").select("a", "b", "wa", "wb")
     # cheap rows, costly work: as many tasks as cores, whatever the bytes
