@@ -1,14 +1,542 @@
-"""The queries of the document engine and the SQL that must give the same rows."""
+"""The queries of the document engine and the SQL that must give the same rows.
+
+Most are round trips: a table becomes TEI text, which is parsed and projected;
+the SQL computes the expected rows from the table and never sees the text.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates, paths, text
+from ..operators import vector
+from ..operators.paper import paper
+from ..operators.parse import with_parsed
+from ..sources.sinks import paper_json, summary
+from .build import each, element, escape, tei
+from .ingest import parse_documents, status_of
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+#: Unicode White_Space in DuckDB's expressions.
+_WS = r"[\x{09}-\x{0d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _norm(sql: str) -> str:
+    return f"trim(regexp_replace({sql}, '{_WS}', ' ', 'g'))"
+
+
+def query(name: str, oracle: str) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        ORACLES[name] = oracle
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _papers(df: DataFrame, xml: Column, *keep: str) -> DataFrame:
+    """``keep`` and ``p``, the paper of each row's TEI text."""
+    return with_parsed(df.select(*keep, xml.alias("tei_xml"))).select(*keep, paper(F.col("flat")).alias("p"))
+
+
+def _lines(c: Column) -> Column:
+    return F.split(c, "\n")
+
+
+# white space and dates -------------------------------------------------------
+
+
+@query(
+    "normalize_ws",
+    f"""WITH v AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN chr(160) || replace(text, ' ', chr(8195) || ' ') WHEN 1 THEN replace(text, ' ', chr(9)) || chr(12288)
+    WHEN 2 THEN replace(text, ' ', chr(8203) || chr(133)) ELSE text END AS t FROM documents)
+    SELECT doc_id, {_norm("t")} AS norm, nullif({_norm("left(t, (doc_id % 3)::INT)")}, '') AS head FROM v""",
+)
+def normalize_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, m = F.col("text"), F.col("doc_id") % 4
+    varied = (
+        F.when(m == 0, F.concat(F.lit(" "), F.replace(c, F.lit(" "), F.lit("  "))))
+        .when(m == 1, F.concat(F.replace(c, F.lit(" "), F.lit("\t")), F.lit("　")))
+        .when(m == 2, F.replace(c, F.lit(" "), F.lit("​\u0085")))
+        .otherwise(c)
+    )
+    head = varied.substr(F.lit(1), (F.col("doc_id") % 3).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_ws(varied).alias("norm"), text.normalized_opt(head).alias("head"))
+
+
+@query("doc_year", "SELECT doc_id, CASE WHEN y BETWEEN 1000 AND 3000 THEN y END AS year FROM (SELECT doc_id, try_cast(nullif(regexp_extract(text, '[0-9]{4}'), '') AS INT) AS y FROM documents)")
+def doc_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", dates.first_year(F.col("text")).alias("year"))
+
+
+_DATE_SQL = """CASE o_orderkey % 7 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%Y')
+  WHEN 3 THEN 'n.d.' WHEN 4 THEN ' ' || strftime(o_orderdate, '%Y') || '-13-' || strftime(o_orderdate, '%d') WHEN 5 THEN 'été ' || strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y') || '-+5-0' || (o_orderkey % 10) END"""
+
+
+@query(
+    "pub_date",
+    f"""WITH s AS (SELECT o_orderkey, trim({_DATE_SQL}) AS t FROM orders),
+    p AS (SELECT o_orderkey, try_cast(nullif(regexp_extract(t, '[0-9]{{4}}'), '') AS INT) AS y,
+      CASE WHEN o_orderkey % 7 IN (0, 4) THEN t[6:7] WHEN o_orderkey % 7 = 1 THEN t[6:7] WHEN o_orderkey % 7 = 6 THEN t[6:7] END AS m,
+      CASE WHEN o_orderkey % 7 IN (0, 1, 4, 6) THEN t[9:10] WHEN o_orderkey % 7 = 5 THEN t[7:8] END AS d FROM s)
+    SELECT o_orderkey, y AS year, CASE WHEN regexp_full_match(m, '[0-9]{{2}}|[+][0-9]') AND try_cast(replace(m, '+', '') AS INT) BETWEEN 1 AND 12 THEN try_cast(replace(m, '+', '') AS INT) END AS month,
+      CASE WHEN regexp_full_match(d, '[0-9]{{2}}|[+][0-9]') AND try_cast(replace(d, '+', '') AS INT) BETWEEN 1 AND 31 THEN try_cast(replace(d, '+', '') AS INT) END AS day
+    FROM p WHERE y BETWEEN 1000 AND 3000""",
+)
+def pub_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 7
+    year = F.date_format(d, "yyyy")
+    when = (
+        F.when(k == 0, F.date_format(d, "yyyy-MM-dd"))
+        .when(k == 1, F.date_format(d, "dd/MM/yyyy"))
+        .when(k == 2, year)
+        .when(k == 3, F.lit("n.d."))
+        .when(k == 4, F.concat(F.lit(" "), year, F.lit("-13-"), F.date_format(d, "dd")))
+        .when(k == 5, F.concat(F.lit("été "), F.date_format(d, "yyyy-MM")))
+        .otherwise(F.concat(year, F.lit("-+5-0"), F.col("o_orderkey") % 10))
+    )
+    got = table(spark, sf_dir, "orders").select("o_orderkey", dates.partial_date(when).alias("d"))
+    return got.where("d is not null").select("o_orderkey", "d.year", "d.month", "d.day")
+
+
+@query(
+    "date_sources",
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN year(o_orderdate)::INT WHEN 1 THEN NULL WHEN 2 THEN year(o_orderdate)::INT ELSE 1999 END AS year FROM orders""",
+)
+def date_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attribute before the text, an empty attribute too; the first date that can be read."""
+    k, y = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy")
+    made = (
+        F.when(k == 0, element("date", "1234", when=y))
+        .when(k == 1, element("date", y, when=""))
+        .when(k == 2, F.concat(element("date", "n.d."), element("date", y)))
+        .otherwise(F.concat(element("date", "9999"), element("date", "circa 1999")))
+    )
+    xml = tei(source=element("biblStruct", element("monogr", element("imprint", made))))
+    return _papers(table(spark, sf_dir, "orders"), xml, "o_orderkey").select("o_orderkey", F.col("p.publication.date.year").alias("year"))
+
+
+# body ------------------------------------------------------------------------
+
+
+def _sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as one division: its first line the head, the others paragraphs."""
+    lines = _lines(F.col("text"))
+    body = element("div", element("head", escape(F.get(lines, F.lit(0)))), each(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: element("p", escape(x))))
+    return _papers(table(spark, sf_dir, "documents").where("text is not null"), tei(body=body), "doc_id")
+
+
+_SECTIONS = f"""lines AS (SELECT doc_id, i, {_norm("line")} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
+  heads AS (SELECT doc_id, t AS title FROM lines WHERE i = 1), paras AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, t FROM lines WHERE i > 1 AND t <> ''),
+  own AS (SELECT h.doc_id, h.title, count(p.n) AS n_chunks FROM heads h LEFT JOIN paras p ON p.doc_id = h.doc_id GROUP BY ALL HAVING h.title <> '' OR count(p.n) > 0)"""
+
+
+@query("sections_roundtrip", f"WITH {_SECTIONS} SELECT doc_id, 0 AS pos, title, n_chunks::INT AS n_chunks FROM own UNION ALL SELECT doc_id, n::INT, '', 1 FROM paras")
+def sections_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _sectioned(spark, sf_dir).select("doc_id", F.posexplode("p.content.sections").alias("pos", "s"))
+    return got.select("doc_id", "pos", F.col("s.title").alias("title"), F.size("s.text_chunks").alias("n_chunks"))
+
+
+@query("section_chunks", f"WITH {_SECTIONS} SELECT doc_id, 0 AS pos, (n - 1)::INT AS chunk_pos, t AS chunk FROM paras UNION ALL SELECT doc_id, n::INT, 0, t FROM paras")
+def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _sectioned(spark, sf_dir).select("doc_id", F.posexplode("p.content.sections").alias("pos", "s"))
+    return got.select("doc_id", "pos", F.posexplode("s.text_chunks").alias("chunk_pos", "chunk"))
+
+
+@query(
+    "inline_text",
+    """SELECT doc_id, w[1] || ' ' || w[2] || ' ' || w[3] || ' ' || w[4] || ' ' || w[5] || ' ' || w[6] || ' ' || w[7] AS chunk
+    FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \n]+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) >= 7""",
+)
+def inline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed content: every kind of inline part in one paragraph."""
+    w = F.filter(F.split("text", "[ \n]+"), lambda x: x != "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(w, escape).alias("w")).where(F.size("w") >= 7)
+
+    def at(k: int) -> Column:
+        return F.get("w", F.lit(k))
+
+    para = element(
+        "p", at(0), element("hi", at(1)), at(2), "<lb/>", element("ref", at(3), type="bibr"), "<!-- none --><ptr/>", element("formula", at(4)), element("note", element("p", at(5))),
+        element("figure", element("label", "unseen"), element("figDesc", at(6))),
+    )
+    return _papers(docs, tei(body=para), "doc_id").select("doc_id", F.expr("p.content.sections[0].text_chunks[0]").alias("chunk"))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines in order, up to seven each: the lists of the ordinals below."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
+    return lines.agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").cast("string").alias("q")))).alias("x"))
+
+
+@query(
+    "figures_ordinals",
+    """SELECT l_orderkey, 'figure-' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linestatus <> 'O', l_linenumber, l_partkey, l_quantity, l_returnflag) AS id, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS label,
+    'H ' || l_quantity::INT || ' ' || l_returnflag AS caption FROM lineitem""",
+)
+def figures_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the body, then of the back, in one numbering; captions group heads, descriptions, paragraphs."""
+
+    def make(x: Column) -> Column:
+        return element("figure", element("head", "H"), element("label", F.when(x["l_linenumber"] % 2 == 0, x["l_returnflag"]).otherwise(" ")), element("figDesc", x["q"]), element("p", x["l_returnflag"]))
+
+    x = F.col("x")
+    body = element("div", each(F.filter(x, lambda v: v["l_linestatus"] == "O"), make))
+    back = each(F.filter(x, lambda v: v["l_linestatus"] != "O"), make)
+    got = _papers(_orders(spark, sf_dir), tei(body=body, back=back), "l_orderkey").select("l_orderkey", F.explode("p.content.figures").alias("f"))
+    return got.select("l_orderkey", "f.id", "f.label", "f.caption")
+
+
+@query(
+    "tables_raw",
+    """SELECT l_orderkey, 'table-1' AS id, 'T' || l_orderkey AS caption, string_agg(l_returnflag || ' ' || l_quantity::INT, ' ' ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS raw_content FROM lineitem GROUP BY l_orderkey""",
+)
+def tables_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = each(F.col("x"), lambda x: element("row", element("cell", x["l_returnflag"]), "<cell/>", element("cell", element("p", x["q"]))))
+    body = element("table", element("head", " "), element("head", F.concat(F.lit("T"), F.col("l_orderkey"))), rows, "<row/>")
+    got = _papers(_orders(spark, sf_dir), tei(body=body), "l_orderkey").select("l_orderkey", F.explode("p.content.tables").alias("t"))
+    return got.select("l_orderkey", "t.id", "t.caption", "t.raw_content")
+
+
+@query(
+    "references_ordinals",
+    """SELECT l_orderkey, 'ref-' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag, l_linestatus) AS id,
+    CASE l_linenumber % 3 WHEN 0 THEN 'A' || l_partkey ELSE 'B' || l_partkey END AS title, CASE l_linenumber % 3 WHEN 1 THEN 'B' || l_partkey ELSE 'J' || l_partkey END AS journal,
+    CASE l_linenumber % 3 WHEN 0 THEN 0 ELSE 1 END AS n_authors, (1900 + l_quantity)::INT AS year, CASE WHEN l_linenumber % 3 = 2 THEN 'x' || l_partkey END AS doi FROM lineitem""",
+)
+def references_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With an article (even without authors) its title and authors; else the volume's, a book being its own journal."""
+
+    def make(x: Column) -> Column:
+        key, k = x["l_partkey"].cast("string"), x["l_linenumber"] % 3
+        person = element("author", element("persName", element("surname", "S")))
+        imprint = element("imprint", element("date", F.concat(F.lit("printed "), (x["q"].cast("int") + 1900).cast("string"))))
+        book = element("biblStruct", element("monogr", element("title", F.concat(F.lit("B"), key), level="m"), person, imprint))
+        volume = element("monogr", element("title", F.concat(F.lit("P"), key)), element("title", F.concat(F.lit("J"), key), level="j"), person, imprint)
+        article = element("biblStruct", element("analytic", element("title", F.concat(F.lit("A"), key))), volume)
+        other = element("biblStruct", element("monogr", element("title", F.concat(F.lit("B"), key)), element("title", F.concat(F.lit("J"), key), level="j"), person, imprint), element("idno", F.concat(F.lit(" x"), key), type="doi"))
+        return F.when(k == 0, article).when(k == 1, book).otherwise(other)
+
+    back = element("div", element("listBibl", each(F.col("x"), make)))
+    got = _papers(_orders(spark, sf_dir), tei(back=back), "l_orderkey").select("l_orderkey", F.explode("p.content.references").alias("r"))
+    return got.select("l_orderkey", "r.id", "r.title", "r.journal", F.size("r.authors").alias("n_authors"), "r.year", "r.identifiers.doi")
+
+
+# header ----------------------------------------------------------------------
+
+
+@query(
+    "keywords_unique",
+    """WITH w AS (SELECT doc_id, unnest(k) AS word, generate_subscripts(k, 1) AS i FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \n]+'), lambda x: x <> '')[1:40] AS k FROM documents)),
+    f AS (SELECT doc_id, word, min(i) AS i FROM w GROUP BY ALL) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, word FROM f""",
+)
+def keywords_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms, a block's own text and list items, distinct in order of first occurrence."""
+    w = F.transform(F.slice(F.filter(F.split("text", "[ \n]+"), lambda x: x != ""), 1, 40), escape)
+    docs = table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).where(F.size("w") > 0)
+    terms = element("keywords", each(F.slice("w", 1, 20), lambda x: element("term", x)))
+    one = element("keywords", F.coalesce(F.get("w", F.lit(20)), F.lit("")))
+    items = element("keywords", element("list", each(F.when(F.size("w") > 21, F.slice("w", 22, 40)).otherwise(F.array().cast("array<string>")), lambda x: element("item", x))))
+    profile = element("textClass", terms, one, items)
+    return _papers(docs, tei(profile=profile), "doc_id").select("doc_id", F.posexplode("p.core.keywords").alias("pos", "word"))
+
+
+@query(
+    "abstract_join",
+    f"""SELECT conv_id, nullif({_norm("string_agg(text, ' ' ORDER BY role <> 'user', turn)")}, '') AS abstract_text FROM conversations GROUP BY conv_id""",
+)
+def abstract_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paragraphs of an abstract, then its divisions."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    first = each(F.filter("t", lambda x: x["role"] == "user"), lambda x: element("p", escape(x["text"])))
+    then = each(F.filter("t", lambda x: x["role"] != "user"), lambda x: element("div", element("head", "unseen"), element("p", escape(x["text"]))))
+    return _papers(turns, tei(profile=element("abstract", then, first)), "conv_id").select("conv_id", F.col("p.core.abstract_text").alias("abstract_text"))
+
+
+@query(
+    "ack_join",
+    f"""SELECT conv_id, nullif({_norm("coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE turn % 3 <> 2), '')")}, '') AS acknowledgements FROM conversations GROUP BY conv_id""",
+)
+def ack_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acknowledgements are divisions right below the back; paragraphs, list items and divisions within them count."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+
+    def make(x: Column) -> Column:
+        body, k = escape(x["text"]), x["turn"] % 3
+        item = element("div", element("list", element("item", body)), type="acknowledgement")
+        return F.when(k == 0, element("div", element("div", element("p", body)), type="acknowledgement")).when(k == 1, item).otherwise(element("div", element("div", element("p", body), type="acknowledgement")))
+
+    return _papers(turns, tei(back=each(F.col("t"), make)), "conv_id").select("conv_id", F.col("p.core.acknowledgements").alias("acknowledgements"))
+
+
+@query(
+    "funding_unique",
+    """WITH s AS (SELECT s_nationkey, 1 AS part, s_suppkey AS k, left(s_name, 17) AS t FROM supplier UNION ALL SELECT s_nationkey, 2, s_suppkey, left(s_name, 17) || ' G-' || (s_suppkey % 5) FROM supplier),
+    f AS (SELECT s_nationkey, t, min((part, k)) AS place FROM s GROUP BY ALL) SELECT s_nationkey, (row_number() OVER (PARTITION BY s_nationkey ORDER BY place) - 1)::INT AS pos, t AS statement FROM f""",
+)
+def funding_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Funders of the title statement, then funding organisations of the back at any depth of divisions."""
+    s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.substring("s_name", 1, 17).alias("n")))).alias("s"))
+    funders = each(F.col("s"), lambda x: element("funder", element("orgName", escape(x["n"]))))
+    orgs = each(F.col("s"), lambda x: element("org", element("idno", F.concat(F.lit("G-"), (x["s_suppkey"] % 5).cast("string"))), element("orgName", escape(x["n"]))))
+    back = element("div", element("listOrg", orgs, type="funding"), element("listOrg", element("org", element("orgName", "unseen")), type="other"))
+    return _papers(s, tei(title=funders, back=back), "s_nationkey").select("s_nationkey", F.posexplode("p.core.funding_statements").alias("pos", "statement"))
+
+
+@query(
+    "title_fallback",
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_brand WHEN 2 THEN p_type ELSE p_name END AS title FROM part""",
+)
+def title_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A main title first; a blank main title gives none, and then the article's title counts."""
+    k = F.col("p_partkey") % 4
+    name, brand, kind = (escape(F.col(c)) for c in ("p_name", "p_brand", "p_type"))
+    title = (
+        F.when(k == 0, F.concat(element("title", brand), element("title", name, type="main")))
+        .when(k == 1, F.concat(element("title", "  ", type="main"), element("title", name)))
+        .when(k == 2, F.lit(""))
+        .otherwise(F.concat(element("title", name), element("title", brand)))
+    )
+    source = element("biblStruct", element("analytic", element("title", F.when(k == 1, brand).otherwise(kind))))
+    return _papers(table(spark, sf_dir, "part"), tei(title=title, source=source), "p_partkey").select("p_partkey", F.col("p.core.title").alias("title"))
+
+
+@query("journal_title", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN p_name END AS journal, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'Pub' END AS publisher FROM part")
+def journal_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    name, kind = escape(F.col("p_name")), escape(F.col("p_type"))
+    titles = F.when(k == 0, F.concat(element("title", name), element("title", kind, level="j"))).when(k == 1, element("title", name, level="m")).otherwise(F.lit(""))
+    imprint = F.when(F.col("p_partkey") % 2 == 0, element("imprint", element("publisher", " "), element("publisher", escape(F.col("p_brand"))))).otherwise(F.lit("<imprint/>"))
+    xml = tei(source=element("biblStruct", element("monogr", titles, imprint)), publication=element("publisher", "Pub"))
+    return _papers(table(spark, sf_dir, "part"), xml, "p_partkey").select("p_partkey", F.col("p.publication.journal").alias("journal"), F.col("p.publication.publisher").alias("publisher"))
+
+
+@query(
+    "scope_pages",
+    """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN l_linenumber || '-' || l_quantity::INT WHEN 1 THEN NULL WHEN 2 THEN l_quantity::INT || 'ff' ELSE NULL END AS pages, l_quantity::INT || '' AS volume,
+    CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS issue FROM lineitem""",
+)
+def scope_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ends make a range; one end without text gives nothing; the first scope of a unit decides."""
+    k, n, q = F.col("l_linenumber") % 4, F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string")
+    pages = (
+        F.when(k == 0, F.concat(element("biblScope", unit="page", from_=n, to=q), element("biblScope", "unseen", unit="page")))
+        .when(k == 1, element("biblScope", unit="page", from_=n))
+        .when(k == 2, element("biblScope", F.concat(q, F.lit("ff")), unit="page", from_=n))
+        .otherwise(element("biblScope", q, unit="pp"))
+    )
+    issue = F.when(F.col("l_linenumber") % 2 == 0, element("biblScope", F.col("l_returnflag"), unit="issue")).otherwise(F.lit(""))
+    xml = tei(source=element("biblStruct", element("monogr", element("imprint", pages, element("biblScope", q, unit="volume"), issue))))
+    got = _papers(table(spark, sf_dir, "lineitem"), xml, "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "p.publication.*")
+    return got.select("l_orderkey", "l_linenumber", "pages", "volume", "issue")
+
+
+@query(
+    "identifier_precedence",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'b' || o_orderkey WHEN o_orderkey % 3 = 0 THEN 'a' || o_orderkey WHEN o_orderkey % 5 = 0 THEN 'm' || o_orderkey ELSE 's' || o_orderkey END AS doi,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'n1' WHEN o_orderkey % 5 = 0 THEN 'n2' END AS issn, NULL::VARCHAR AS isbn FROM orders""",
+)
+def identifier_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The work's own identifier, then the article's, the volumes', the series'; blank ones and other types do not count."""
+    key = F.col("o_orderkey")
+    s = key.cast("string")
+
+    def idno(mark: str, step: int, kind: str) -> Column:
+        return element("idno", F.when(key % step == 0, F.concat(F.lit(mark), s)).otherwise(F.lit(" ")), type=kind)
+
+    issn = F.concat(element("idno", F.when(key % 3 == 0, "n1").otherwise(" "), type="ISSN"), element("idno", F.when(key % 5 == 0, "n2").otherwise(""), type="issn"), element("idno", "n3", type="eISSN"))
+    bibl = element("biblStruct", element("analytic", idno("a", 3, "doi")), element("monogr", issn), element("monogr", idno("m", 5, "Doi")), element("series", idno("s", 1, "DOI")), idno("b", 2, "DOI"))
+    got = _papers(table(spark, sf_dir, "orders"), tei(source=bibl), "o_orderkey")
+    return got.select("o_orderkey", "p.publication.identifiers.doi", "p.publication.identifiers.issn", "p.publication.identifiers.isbn")
+
+
+@query(
+    "author_names",
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'F' || c_custkey WHEN 1 THEN 'G' || c_custkey WHEN 2 THEN NULL ELSE NULL END AS first_name,
+    CASE c_custkey % 4 WHEN 0 THEN 'M Q' WHEN 2 THEN 'M' END AS middle_name, CASE WHEN c_custkey % 4 <> 3 THEN c_name END AS last_name FROM customer""",
+)
+def author_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
+    name = element("surname", escape(F.col("c_name")))
+    person = (
+        F.when(k == 0, element("persName", element("forename", "M", type="middle"), element("forename", F.concat(F.lit("F"), s), type="first"), element("forename", " Q ", type="middle"), name))
+        .when(k == 1, element("persName", element("forename", F.concat(F.lit("G"), s)), element("forename", "H"), name, element("surname", "second")))
+        .when(k == 2, element("persName", element("forename", "M", type="middle"), element("forename", " ", type="first"), name))
+        .otherwise(element("orgName", "an organisation"))
+    )
+    xml = tei(source=element("biblStruct", element("analytic", element("author", person))))
+    got = _papers(table(spark, sf_dir, "customer"), xml, "c_custkey").select("c_custkey", F.explode("p.authors").alias("a"))
+    return got.select("c_custkey", "a.first_name", "a.middle_name", "a.last_name")
+
+
+@query("authors_fallback", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'article' WHEN c_custkey % 3 = 1 THEN c_name ELSE c_name END AS last_name, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS n_authors FROM customer")
+def authors_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article's authors, else the title statement's."""
+
+    def person(x: Column | str) -> Column:
+        return element("author", element("persName", element("surname", x)))
+
+    k = F.col("c_custkey") % 3
+    source = F.when(k == 0, element("biblStruct", element("analytic", person("article"), "<author/>"))).when(k == 1, element("biblStruct", "<analytic/>")).otherwise(F.lit(""))
+    got = _papers(table(spark, sf_dir, "customer"), tei(title=person(escape(F.col("c_name"))), source=source), "c_custkey")
+    return got.select("c_custkey", F.expr("p.authors[0].last_name").alias("last_name"), F.size("p.authors").alias("n_authors"))
+
+
+@query(
+    "affiliation_fold",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'L1' END AS laboratory, CASE WHEN c_custkey % 3 = 1 THEN 'D1' END AS department,
+    CASE c_custkey % 3 WHEN 0 THEN 'L2' WHEN 1 THEN 'D2' ELSE c_mktsegment END AS institution, n_name AS settlement, CASE WHEN r_name = 'ASIA' THEN NULL ELSE r_name END AS country
+    FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""",
+)
+def affiliation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second organisation of a type, and one of no known type, goes to institution while that is free."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("c_custkey") % 3
+
+    def org(x: Column | str, kind: str) -> Column:
+        return element("orgName", x, type=kind)
+
+    segment = escape(F.col("c_mktsegment"))
+    orgs = (
+        F.when(k == 0, F.concat(org("L1", "laboratory"), org("L2", "laboratory"), org("I", "institution")))
+        .when(k == 1, F.concat(org(" ", "department"), org("D1", "department"), org("D2", "department"), org(segment, "institution")))
+        .otherwise(F.concat(element("orgName", segment), org("I", "institution")))
+    )
+    address = element("address", element("settlement", " "), element("settlement", escape(F.col("n_name"))), element("country", F.when(F.col("r_name") == "ASIA", " ").otherwise(escape(F.col("r_name")))))
+    xml = tei(source=element("biblStruct", element("analytic", element("author", element("persName", element("surname", "S")), element("affiliation", orgs, address)))))
+    got = _papers(c, xml, "c_custkey").select("c_custkey", F.expr("p.authors[0].affiliations[0]").alias("a"))
+    return got.select("c_custkey", "a.*")
+
+
+# whole papers, runs, paths ------------------------------------------------------
+
+
+@query(
+    "paper_json",
+    f"""SELECT doc_id, {_norm("string_split(text, chr(10))[1]")} AS title, lang AS keyword, 'figure-1' AS figure_id, len(string_split(text, chr(10)))::INT AS n_tags, true AS explicit_nulls FROM documents""",
+)
+def paper_json_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole paper written as JSON and read again; nulls are written."""
+    lines = _lines(F.col("text"))
+    xml = tei(
+        title=element("title", escape(F.get(lines, F.lit(0)))),
+        profile=element("textClass", element("keywords", element("term", escape(F.col("lang"))))),
+        body=F.concat(each(lines, lambda x: element("figure", element("head", escape(x)))), F.lit("<p/>")),
+    )
+    got = _papers(table(spark, sf_dir, "documents"), xml, "doc_id").select("doc_id", paper_json(F.col("p")).alias("j"))
+    read = F.from_json("j", "core struct<title:string,keywords:array<string>>, content struct<figures:array<struct<id:string>>>")
+    kept = F.col("j").contains('"extraction_data":{"properties":null,"bounding_boxes":[]}') & F.col("j").contains('"references":[]')
+    return got.select("doc_id", read.alias("r"), kept.alias("explicit_nulls")).select(
+        "doc_id", F.col("r.core.title").alias("title"), F.expr("r.core.keywords[0]").alias("keyword"), F.expr("r.content.figures[0].id").alias("figure_id"), F.size("r.content.figures").alias("n_tags"), "explicit_nulls"
+    )
+
+
+_FAULTS = {
+    1: ("<quote/>", "unknown variant `quote`"),
+    2: ("<figure><head/><figDesc/><head/></figure>", "duplicate field `head`"),
+    3: ("&eacute;", "unrecognized entity `eacute`"),
+    4: ("<p><div/></p>", "unknown variant `div`"),
+}
+
+
+def _documents_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as TEI; those with doc_id % 7 in 1..4 break the rules."""
+    k = F.col("doc_id") % 7
+    fault: Column = F.lit("")
+    for n, (xml, _) in _FAULTS.items():
+        fault = F.when(k == n, F.lit(xml)).otherwise(fault)
+    path = F.concat(F.lit("/in/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".pdf"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), paths.file_stem(path).alias("stem"), tei(body=F.concat(element("p", escape(F.col("text"))), fault)).alias("tei_xml"))
+    return parse_documents(docs)
+
+
+@query(
+    "run_summary",
+    """SELECT count(*) AS total, count(*) FILTER (doc_id % 7 BETWEEN 1 AND 4) AS failure_count, bool_or(doc_id % 7 BETWEEN 1 AND 4) AS failed,
+    'Processed ' || count(*) || ' PDFs: ' || count(*) FILTER (NOT doc_id % 7 BETWEEN 1 AND 4) || ' succeeded, ' || count(*) FILTER (doc_id % 7 BETWEEN 1 AND 4) || ' failed' AS line FROM documents""",
+)
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(status_of(_documents_run(spark, sf_dir)))
+
+
+@query(
+    "status_log",
+    "SELECT doc_id, CASE WHEN doc_id % 7 BETWEEN 1 AND 4 THEN 'parse' END AS error_kind, CASE doc_id % 7 "
+    + " ".join(f"WHEN {n} THEN 'failed to parse TEI XML: {m}'" for n, (_, m) in _FAULTS.items())
+    + " END AS error_message FROM documents",
+)
+def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents_run(spark, sf_dir).select("doc_id", "error_kind", "error_message")
+
+
+@query(
+    "path_ops",
+    r"""WITH u AS (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.tei.xml' WHEN 2 THEN '/.pdf' ELSE '.pdf' END AS path FROM pages), n AS (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM u),
+    s AS (SELECT *, CASE WHEN regexp_full_match(name, '\.[^.]*') THEN name ELSE regexp_replace(name, '\.[^.]*$', '') END AS stem FROM n)
+    SELECT page_id, page_id % 4 IN (0, 3) AND name NOT IN ('.PDF', '.pdf') AS is_pdf, page_id % 4 = 1 AND name <> '.tei.xml' AS is_tei, stem, 'out/' || stem || '.tei.xml' AS tei_path, 'out/' || stem || '.json' AS json_path FROM s""",
+)
+def path_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 4
+    path = F.concat("url", F.when(k == 0, ".PDF").when(k == 1, ".tei.xml").when(k == 2, "/.pdf").otherwise(".pdf"))
+    stem = paths.file_stem(path)
+    return table(spark, sf_dir, "pages").select(
+        "page_id", paths.is_pdf(path).alias("is_pdf"), paths.is_tei_xml(path).alias("is_tei"), stem.alias("stem"), paths.tei_path("out/", stem).alias("tei_path"), paths.json_path("out", path).alias("json_path")
+    )
+
+
+# vectors -----------------------------------------------------------------------
+
+_QUERY = [((7 * k) % 11 - 5) / 5 for k in range(64)]
+_QUERY_SQL = "[" + ", ".join(f"{x!r}::DOUBLE" for x in _QUERY) + "]"
+
+
+@query(
+    "vector_topk",
+    f"""WITH s AS (SELECT vec_id AS id, label, list_cosine_similarity(embedding::DOUBLE[], {_QUERY_SQL}) AS s FROM embeddings) SELECT id, label, round(s, 6) AS score FROM s ORDER BY s DESC, id LIMIT 20""",
+)
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return vector.top_k(points, _QUERY, 20, dimension=64).select("id", "label", F.round("score", 6).alias("score"))
+
+
+@query(
+    "vector_metrics",
+    f"""SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], {_QUERY_SQL}), 6) AS dot, round(list_distance(embedding::DOUBLE[], {_QUERY_SQL}), 6) AS euclid,
+    round(list_sum(list_transform(list_zip(embedding::DOUBLE[], {_QUERY_SQL}), lambda z: abs(z[1] - z[2]))), 6) AS manhattan FROM embeddings""",
+)
+def vector_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.array(*[F.lit(x) for x in _QUERY])
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[F.round(vector.score(F.col("embedding"), q, m), 6).alias(m) for m in ("dot", "euclid", "manhattan")])
+
+
+@query("vector_dim_check", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'expected vector dimension 64, got 63' END AS error FROM embeddings")
+def vector_dim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", vector.dimension_error(v, 64).alias("error"))
+
+
+@query(
+    "vector_upsert",
+    """WITH u AS (SELECT vec_id AS id, label, 0 AS v FROM embeddings UNION ALL SELECT vec_id, label + 100, 1 FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id, label + 200, 2 FROM embeddings WHERE vec_id % 6 = 0
+    UNION ALL SELECT vec_id + 1000000, label, 1 FROM embeddings WHERE vec_id % 5 = 0) SELECT id, arg_max(label, v) AS label FROM u GROUP BY id""",
+)
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    even = e.where("id % 2 = 0").select("id", (F.col("label") + 100).alias("label"), F.lit(1).alias("v"))
+    sixth = e.where("id % 6 = 0").select("id", (F.col("label") + 200).alias("label"), F.lit(2).alias("v"))
+    fresh = e.where("id % 5 = 0").select((F.col("id") + 1000000).alias("id"), "label", F.lit(1).alias("v"))
+    return vector.upsert(e, vector.union_all([even, sixth, fresh]), F.col("v")).select("id", "label")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["sections_roundtrip"](spark, sf_dir)
