@@ -4,8 +4,8 @@ A rated document has grade ``1 + quality - toxic`` (0 poor and toxic, 1 one
 fault, 2 clean). The cumulative-link model is
 ``P(grade <= k) = sigmoid(theta_k - w.x)`` with theta_0 < theta_1: all grades
 share the weights w, which belong to hashed features. Features are the distinct
-words (folded, without edge punctuation), what hangs on a word's edges, its
-case, and coarse counts of the whole text; each counts once, as present.
+words (folded, without edge punctuation), their first letters, what hangs on a
+word's edges, its case, and coarse counts of the whole text; each counts once, as present.
 ``expected_grade`` is the model's mean grade, ``p_clean`` the probability of
 the best grade, and ``selected`` says whether that is at least ``SELECT_FROM``.
 
@@ -30,11 +30,16 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, Memo, binary, look_up, read, slices, word_hash, words_of, worker_kept
 
-SPACE = 1 << 18
-TRAIN_ROWS = 6000
-ROUNDS = 160
-PENALTY = 2e-5
-SELECT_FROM = 0.5
+BITS = 18
+SPACE = 1 << BITS
+#: Letters of a word's beginning that make a feature.
+PREFIX = 4
+#: Bound of the training sample.
+TRAIN_ROWS = 20_000
+SEEN = 3
+ROUNDS = 80
+PENALTY = 1e-4
+SELECT_FROM = 0.8
 SCHEMA = "doc_id bigint, expected_grade double, p_clean double, selected boolean"
 _EDGES = b".,;:!?\"'()[]{}<>*#$%&|/\\-_=+~`@^"
 
@@ -44,33 +49,37 @@ class Model(NamedTuple):
     thresholds: np.ndarray  # (2,), ascending
 
 
-def _pair(word: bytes) -> int:
-    """Two features of a word in one integer: its folded core, and its edges and case."""
+def _features(word: bytes) -> int:
+    """Three features of a word in one integer: its folded core, that core's beginning, its edges and case."""
     core = word.strip(_EDGES)
     head, tail = (word.split(core, 1) if core else (word, b""))
     text = core.decode("utf-8", "replace")
     case = b"U" if text.isupper() and len(text) > 1 else b"D" if text.isdigit() else b"w"
     shape = b"\0" + case + head[:3] + b"\1" + tail[-3:]
-    return word_hash(text.casefold().encode()) % SPACE << 32 | word_hash(shape) % SPACE
+    text = text.casefold()
+    begin = "\3" + text[:PREFIX]
+    return (word_hash(text.encode()) % SPACE << 2 * BITS) | (word_hash(begin.encode()) % SPACE << BITS) | word_hash(shape) % SPACE
 
 
 def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature ids of each text, one after another, and their offsets."""
-    memo = worker_kept("quality-words", lambda: Memo(_pair))
+    memo = worker_kept("quality-words", lambda: Memo(_features))
     memo.trim()
     parts, offsets = words_of(texts)
-    both = look_up(parts, memo, int(offsets[-1]))
+    packed = look_up(parts, memo, int(offsets[-1]))
     counts = np.diff(offsets)
     owner = np.repeat(np.arange(len(texts), dtype=np.uint64), counts) << np.uint64(32)
-    cores = np.unique(owner | both >> np.uint64(32))
-    shapes = np.unique(owner | both & np.uint64(0xFFFFFFFF))
+    mask = np.uint64(SPACE - 1)
+    cores = np.unique(owner | packed >> np.uint64(2 * BITS))
+    begins = np.unique(owner | (packed >> np.uint64(BITS)) & mask)
+    shapes = np.unique(owner | packed & mask)
     words = np.bincount((cores >> np.uint64(32)).astype(np.int64), minlength=len(texts))
     whole = []
     for k, (n, distinct) in enumerate(zip(counts.tolist(), words.tolist(), strict=True)):
         if n:
             for tag in (f"\2distinct {int(10 * distinct / n)} {int(np.log2(n))}", f"\2words {int(np.log2(n))}"):
                 whole.append(k << 32 | word_hash(tag.encode()) % SPACE)
-    all_ = np.unique(np.concatenate([cores, shapes, np.array(whole, np.uint64)]))
+    all_ = np.unique(np.concatenate([cores, begins, shapes, np.array(whole, np.uint64)]))
     ends = np.searchsorted(all_, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(32))
     return (all_ & np.uint64(0xFFFFFFFF)).astype(np.int32), ends
 
@@ -86,34 +95,61 @@ def probabilities(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
 
 
 def train(ids: np.ndarray, offsets: np.ndarray, grades: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> Model:
-    """Maximum likelihood with an L2 penalty, by Adam on all rows. Features seen in one row only are left at 0."""
+    """Maximum likelihood with an L2 penalty, by L-BFGS on all rows. Features seen in fewer than ``SEEN`` rows stay at 0."""
     n = len(grades)
     row = np.repeat(np.arange(n), np.diff(offsets))
-    often = np.bincount(ids, minlength=SPACE) > 1
-    used = often[ids]
+    used = (np.bincount(ids, minlength=SPACE) >= SEEN)[ids]
     ids, row = ids[used], row[used]
     names, ids = np.unique(ids, return_inverse=True)
     share = np.array([(grades <= k).mean() for k in (0, 1)]).clip(1e-3, 1 - 1e-3)
     low = float(np.log(share[0] / (1 - share[0])))
     gap = float(np.log(max(np.log(share[1] / (1 - share[1])) - low, 0.1)))
-    w, first, second = np.zeros((3, len(names) + 2))
+    # the last two are the lower threshold and the logarithm of the gap to the upper one
+    w = np.zeros(len(names) + 2)
     w[-2:] = low, gap
-    weight = 1.0 / n
-    for step in range(1, rounds + 1):
-        theta = np.array([w[-2], w[-2] + np.exp(w[-1])])
+    least, most = grades == 0, grades == 2
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        theta = np.array([w[-2], w[-2] + np.exp(min(w[-1], 20.0))])
         score = np.bincount(row, w[ids], n)
-        upper = np.where(grades == 2, 1.0, _sigmoid(theta[np.minimum(grades, 1)] - score))
-        lower = np.where(grades == 0, 0.0, _sigmoid(theta[np.maximum(grades - 1, 0)] - score))
-        p = np.maximum(upper - lower, 1e-9)
+        upper = np.where(most, 1.0, _sigmoid(theta[np.minimum(grades, 1)] - score))
+        lower = np.where(least, 0.0, _sigmoid(theta[np.maximum(grades - 1, 0)] - score))
+        p = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
-        # of the negative mean log likelihood
-        dscore = (du - dl) * weight
-        dtheta0 = (-du[grades == 0].sum() + dl[grades == 1].sum()) * weight
-        dtheta1 = (-du[grades == 1].sum() + dl[grades == 2].sum()) * weight
-        g = np.append(np.bincount(ids, dscore[row], len(names)) + penalty * w[:-2], [dtheta0 + dtheta1, dtheta1 * np.exp(w[-1])])
-        first = 0.9 * first + 0.1 * g
-        second = 0.99 * second + 0.01 * g * g
-        w = w - 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-10)
+        t0 = -du[least].sum() + dl[grades == 1].sum()
+        t1 = -du[grades == 1].sum() + dl[most].sum()
+        g = np.append(np.bincount(ids, (du - dl)[row], len(names)) / n + penalty * w[:-2], [(t0 + t1) / n, t1 * (theta[1] - theta[0]) / n])
+        return float(-np.log(p).mean() + 0.5 * penalty * (w[:-2] @ w[:-2])), g
+
+    value, g = loss(w)
+    memory: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        q, alphas = g.copy(), []
+        for s, y, rho in reversed(memory):
+            alphas.append(rho * (s @ q))
+            q -= alphas[-1] * y
+        if memory:
+            s, y, _rho = memory[-1]
+            q *= (s @ y) / (y @ y)
+        else:
+            q /= max(float(np.linalg.norm(q)), 1e-12)
+        for (s, y, rho), a in zip(memory, reversed(alphas), strict=True):
+            q += s * (a - rho * (y @ q))
+        slope, step = -float(g @ q), 1.0
+        while step > 1e-8:
+            after, g2 = loss(w - step * q)
+            if after <= value + 1e-4 * step * slope:
+                break
+            step *= 0.5
+        else:
+            break
+        s, y = -step * q, g2 - g
+        if s @ y > 1e-12:
+            memory = [*memory[-7:], (s, y, 1.0 / float(s @ y))]
+        done = value - after < 1e-7
+        w, value, g = w + s, after, g2
+        if done:
+            break
     full = np.zeros(SPACE, np.float32)
     full[names] = w[:-2]
     return Model(full, np.array([w[-2], w[-2] + np.exp(w[-1])]))
