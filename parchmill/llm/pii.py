@@ -65,7 +65,7 @@ def _ip(value: str) -> float:
     parts = value.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
         return 0.0
-    return 0.6 if 0 < int(parts[0]) < 224 or int(parts[0]) > 239 else 0.3
+    return 0.6 if int(parts[0]) else 0.0
 
 
 def _ssn(value: str) -> float:
