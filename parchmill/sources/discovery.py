@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +35,11 @@ def pdf_paths(spark: SparkSession, source: str) -> DataFrame:
     if "://" in source:
         sc = spark.sparkContext
         target = sc._jvm.org.apache.hadoop.fs.Path(source)
-        fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
-        if not fs.exists(target):
+        hadoop = target.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not hadoop.exists(target):
             raise InvalidInput(f"No such file or directory: {source}")
-        found = [source] if fs.getFileStatus(target).isFile() else [s.getPath().toString() for s in fs.listStatus(target) if s.isFile()]
-        single = fs.getFileStatus(target).isFile()
+        found = [source] if hadoop.getFileStatus(target).isFile() else [s.getPath().toString() for s in hadoop.listStatus(target) if s.isFile()]
+        single = hadoop.getFileStatus(target).isFile()
     elif os.path.isfile(source):
         found, single = [source], True
     elif os.path.isdir(source):
@@ -57,9 +60,22 @@ def filter_pdf(paths: DataFrame) -> DataFrame:
 
 
 def read_pdfs(spark: SparkSession, source: str) -> DataFrame:
-    """``path, stem, content`` of every PDF; the paths are passed on one by one, so no name is skipped."""
-    paths = [r["path"] for r in pdf_paths(spark, source).collect()]
-    files = spark.read.format("binaryFile").load([p if "://" in p else "file://" + os.path.abspath(p) for p in paths])
+    """``path, stem, content`` of every PDF, read on the executors.
+
+    Spark's own file sources skip names that begin with ``_`` or ``.``, even
+    when they are named one by one; here every listed path is opened.
+    """
+    paths = pdf_paths(spark, source)
+    tasks = max(1, -(-paths.count() // FILES_PER_TASK))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                store, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
+                with store.open_input_stream(inner) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], names=["path", "content"])
+
+    files = paths.repartition(tasks, "path").mapInArrow(run, "path string, content binary")
     return files.select("path", file_stem(F.col("path")).alias("stem"), "content")
 
 
