@@ -15,7 +15,7 @@ from ..functions import dates, paths, text
 from ..operators import vector
 from ..operators.paper import paper
 from ..operators.parse import with_parsed
-from ..sources.sinks import paper_json, summary
+from ..sources.sinks import paper_json, progress_line, summary
 from .build import each, element, escape, tei
 from .ingest import parse_documents, status_of
 
@@ -494,6 +494,18 @@ def path_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "progress",
+    """WITH n AS (SELECT count(*) AS total FROM documents), p AS (SELECT doc_id, total, CASE WHEN doc_id % 5 = 4 THEN 0 ELSE total END AS t, least(doc_id, total) AS c FROM documents, n)
+    SELECT doc_id, CASE WHEN length(l) > 40 THEN left(l, 37) || '...' ELSE l END AS line FROM (SELECT doc_id,
+    '[' || rpad(repeat('#', CASE WHEN t = 0 THEN 24 ELSE c * 24 // t END::INT), 24, '-') || '] ' || c || '/' || t || ' | running ' || (doc_id % 11) || '/10' AS l FROM p)""",
+)
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    p = docs.select("doc_id").crossJoin(docs.agg(F.count("*").alias("n"))).withColumn("t", F.when(F.col("doc_id") % 5 == 4, 0).otherwise(F.col("n")))
+    return p.select("doc_id", progress_line(F.least("doc_id", "n"), F.col("t"), F.col("doc_id") % 11, 10, 40).alias("line"))
+
+
 # vectors -----------------------------------------------------------------------
 
 _QUERY = [((7 * k) % 11 - 5) / 5 for k in range(64)]

@@ -49,6 +49,18 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Cells of a progress bar.
+BAR_CELLS = 24
+
+
+def progress_line(completed: Column, total: Column, running: Column, most: int, width: int = 120) -> Column:
+    """``[###---] done/all | running now/most``; nothing to do counts as done, and a long line is cut with an ellipsis."""
+    filled = F.when(total == 0, F.lit(BAR_CELLS)).otherwise(F.floor(completed * BAR_CELLS / F.nullif(total, F.lit(0)))).cast("int")
+    counts = [x.cast("string") for x in (completed, total, running)]
+    line = F.concat(F.lit("["), F.rpad(F.repeat(F.lit("#"), filled), BAR_CELLS, "-"), F.lit("] "), counts[0], F.lit("/"), counts[1], F.lit(" | running "), counts[2], F.lit(f"/{most}"))
+    return F.when(F.length(line) > width, F.concat(F.substring(line, 1, width - 3), F.lit("..."))).otherwise(line)
+
+
 def collapse(message: Column) -> Column:
     return F.trim(F.regexp_replace(message, r"(?U)\s+", " "))
 

@@ -130,3 +130,15 @@ def test_stream(spark, tmp_path):
     watch(spark, source, out, mark).awaitTermination()
     rows = spark.read.parquet(out).select("stem", F.col("paper.core.title").alias("title"), "error_kind").collect()
     assert sorted((r["stem"], r["title"], r["error_kind"]) for r in rows) == [("a.tei", "T a", None), ("b.tei", None, "parse"), ("c.tei", "T c", None)]
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    from parchmill.__main__ import main
+
+    where = [str(tmp_path / "t"), str(tmp_path / "j")]
+    assert main([str(folder), *where], stub) == 1
+    said = capsys.readouterr().err
+    assert "Processed 5 PDFs: 2 succeeded, 3 failed" in said and said.count("Error in ") == 3
+    assert main([str(folder / "b.pdf"), *where], stub) == 0
+    assert "Processed 1 PDF: 1 succeeded, 0 failed" in capsys.readouterr().err
+    assert main([str(folder / "f.txt"), *where], stub) == 1
