@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, read, slices
+from .common import binary, read, slices, worker_kept
 
 HIDDEN = 8
 WINDOW = 96
@@ -215,6 +215,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
 
 
 def _verdicts(m: Model | None, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, list[bool]]:
+    worker_kept("langid", lambda: None)  # what an earlier stage remembered goes
     texts = [b if b and not b.isspace() else b"" for b in texts]
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
     if m is None:
@@ -250,7 +251,8 @@ def accepted_language(spark: SparkSession, text: Column, model: Model | None) ->
             out += [n if g else None for n, g in zip(names, good, strict=True)]
         return pa.array(out, pa.string())
 
-    return run(text.cast("string"))
+    # declared so, a filter on the result is not pushed below, where the network would run again
+    return run.asNondeterministic()(text.cast("string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
