@@ -37,7 +37,7 @@ from .common import Memo, binary, ragged, read, slices, worker_kept
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO_PIECES = 800_000
+MEMO_PIECES = 600_000
 SCHEMA = "doc_id bigint, token_ids array<int>, n_tokens int, round_trip boolean"
 
 
@@ -103,7 +103,7 @@ class Encoder:
         key = (a, b)
         got = self.known.get(key)
         if got is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > MEMO_PIECES:
                 self.known.clear()
             got = self.known[key] = self._compatible(a, b)
         return got

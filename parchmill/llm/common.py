@@ -97,8 +97,12 @@ _kept: dict[object, object] = {}
 
 
 def worker_kept(key: object, make: Callable[[], object]) -> object:
-    """``make()`` once for each Python worker and key: what is remembered serves the worker's later tasks too."""
+    """``make()`` once for each Python worker and key: what is remembered serves the worker's later tasks too.
+
+    A worker keeps one thing at a time, as the stages of a job share workers.
+    """
     if key not in _kept:
+        _kept.clear()
         _kept[key] = make()
     return _kept[key]
 
