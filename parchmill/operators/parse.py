@@ -37,6 +37,16 @@ def parse_tei(xml: Column) -> Column:
     return run.asNondeterministic()(xml)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores, if it has fewer.
+
+    Parsing costs far more than moving a row, so a table of few row groups is
+    shuffled first; a table with at least one task per core is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_parsed(df: DataFrame, xml: str = "tei_xml", into: str = "flat") -> DataFrame:
     """Adds the parsed struct. It is computed once however many of its members are used: see the plan's single ArrowEvalPython."""
     return df.withColumn(into, parse_tei(F.col(xml)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, paths, text
 from ..operators import vector
 from ..operators.paper import paper
-from ..operators.parse import with_parsed
+from ..operators.parse import spread, with_parsed
 from ..sources.sinks import paper_json, progress_line, summary
 from .build import each, element, escape, tei
 from .ingest import parse_documents, status_of
@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _papers(df: DataFrame, xml: Column, *keep: str) -> DataFrame:
     """``keep`` and ``p``, the paper of each row's TEI text."""
-    return with_parsed(df.select(*keep, xml.alias("tei_xml"))).select(*keep, paper(F.col("flat")).alias("p"))
+    return with_parsed(spread(df).select(*keep, xml.alias("tei_xml"))).select(*keep, paper(F.col("flat")).alias("p"))
 
 
 def _lines(c: Column) -> Column:
@@ -457,7 +457,7 @@ def _documents_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fault = F.when(k == n, F.lit(xml)).otherwise(fault)
     path = F.concat(F.lit("/in/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".pdf"))
     docs = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), paths.file_stem(path).alias("stem"), tei(body=F.concat(element("p", escape(F.col("text"))), fault)).alias("tei_xml"))
-    return parse_documents(docs)
+    return parse_documents(spread(docs))
 
 
 @query(
