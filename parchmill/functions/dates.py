@@ -24,8 +24,10 @@ def date_part(text: Column, start: int, least: int, most: int) -> Column:
 def partial_date(text: Column) -> Column:
     """``struct<year, month, day>``, null without a year. Month and day stand at fixed places and are read independently."""
     trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    date = F.struct(first_year(trimmed).alias("year"), date_part(trimmed, 5, 1, 12).alias("month"), date_part(trimmed, 8, 1, 31).alias("day"))
-    return F.when(first_year(trimmed).isNotNull(), date)
+    # one element that goes through two steps: the trimmed text and the year are each computed once
+    read = F.transform(F.array(trimmed), lambda t: F.struct(t.alias("t"), first_year(t).alias("year")))
+    dates = F.transform(read, lambda r: F.when(r["year"].isNotNull(), F.struct(r["year"].alias("year"), date_part(r["t"], 5, 1, 12).alias("month"), date_part(r["t"], 8, 1, 31).alias("day"))))
+    return first(dates)
 
 
 def tei_date(date: Column) -> Column:
