@@ -8,8 +8,9 @@ backpropagation through time and Adam, on a bounded sample of labelled rows
 for the class ``und``. Every document is read whole, window after window, at
 any length.
 
-A document is accepted when its best language has a mean probability of at
-least ``MIN_CONFIDENCE``; else it is rejected.
+A document is rejected when "no language" has a mean probability of at least
+``REJECT_FROM``; else it is accepted in its best language, whose mean
+probability is the confidence.
 
 Defined cases: a null, empty or blank text has lang_pred ``und``, confidence 0
 and is rejected; null labels are left out of training; with no labelled row at
@@ -37,7 +38,8 @@ LANES = 1024
 TRAIN_ROWS = 1200
 TRAIN_WINDOWS = 3
 STEPS = 340
-MIN_CONFIDENCE = 0.4
+#: Mean probability of "no language" from which a document is rejected.
+REJECT_FROM = 0.5
 UNKNOWN = "und"
 SCHEMA = "doc_id bigint, lang_pred string, confidence double, accepted boolean"
 
@@ -222,9 +224,11 @@ def _verdicts(m: Model | None, texts: list[bytes | None]) -> tuple[list[str], np
         names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
     else:
         mean = pooled(m, np.frombuffer(b"".join(texts), np.uint8), offsets)
-        best = mean.max(1)
-        names = [m.labels[k] if c else UNKNOWN for k, c in zip(mean.argmax(1), best, strict=True)]
-    return names, best, [n != UNKNOWN and c >= MIN_CONFIDENCE for n, c in zip(names, best.tolist(), strict=True)]
+        last = len(m.labels) - 1
+        best = mean[:, :last].max(1)
+        named = (best > 0) & (mean[:, last] < REJECT_FROM)
+        names = [m.labels[k] if ok else UNKNOWN for k, ok in zip(mean[:, :last].argmax(1), named, strict=True)]
+    return names, best, [n != UNKNOWN for n in names]
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
