@@ -91,7 +91,7 @@ def reference(r: Column, n: Column) -> Column:
     monogr = first(r["monogrs"])
     people = F.when(r["analytic"].isNotNull(), r["analytic"]["authors"]).otherwise(monogr["authors"])
     return F.struct(
-        F.concat(F.lit("ref-"), n + 1).alias("id"),
+        F.coalesce(r["id"], F.concat(F.lit("ref-"), n + 1)).alias("id"),
         F.coalesce(first_title(r["analytic"]["titles"]), first_title(monogr["titles"])).alias("title"),
         _list(F.transform(people, author), AUTHOR).alias("authors"),
         journal_title(monogr["titles"]).alias("journal"),
@@ -104,10 +104,10 @@ def content(d: Column) -> Column:
     boxes = F.expr(_NO_BOXES)
     return F.struct(
         d["sections"].alias("sections"),
-        F.transform(d["figures"], lambda f, n: F.struct(F.concat(F.lit("figure-"), n + 1).alias("id"), first(present(f["labels"])).alias("label"), f["caption"].alias("caption"), boxes.alias("bounding_boxes"))).alias("figures"),
+        F.transform(d["figures"], lambda f, n: F.struct(F.coalesce(f["id"], F.concat(F.lit("figure-"), n + 1)).alias("id"), first(present(f["labels"])).alias("label"), f["caption"].alias("caption"), boxes.alias("bounding_boxes"))).alias("figures"),
         F.transform(
             d["tables"],
-            lambda t, n: F.struct(F.concat(F.lit("table-"), n + 1).alias("id"), F.lit(None).cast("string").alias("label"), first(present(t["heads"])).alias("caption"), t["raw_content"].alias("raw_content"), boxes.alias("bounding_boxes")),
+            lambda t, n: F.struct(F.coalesce(t["id"], F.concat(F.lit("table-"), n + 1)).alias("id"), F.lit(None).cast("string").alias("label"), first(present(t["heads"])).alias("caption"), t["raw_content"].alias("raw_content"), boxes.alias("bounding_boxes")),
         ).alias("tables"),
         F.transform(d["references"], reference).alias("references"),
     )

@@ -12,26 +12,26 @@ from ..plans.schema import FLAT
 from .tei_extract import flat_document
 
 
-def flat_or_error(xml: str | None) -> dict:
+def flat_or_error(xml: str | None, mode: str = "compat") -> dict:
     """The flat record, or a record with ``error`` alone: a bad document never stops the others."""
     if xml is None:
         return {"error": "no TEI text"}
     try:
-        return flat_document(xml)
+        return flat_document(xml, mode)
     except RecursionError:
         return {"error": "elements are nested too deeply"}
     except ValueError as e:
         return {"error": str(e)}
 
 
-def parse_tei(xml: Column) -> Column:
-    """``FLAT`` struct of a TEI text. ``error`` says why a document failed and is null otherwise."""
+def parse_tei(xml: Column, mode: str = "compat") -> Column:
+    """``FLAT`` struct of a TEI text, read strictly or leniently. ``error`` says why a document failed and is null otherwise."""
     spark_type = _parse_datatype_string(FLAT)
     arrow_type = to_arrow_type(spark_type)
 
     @F.arrow_udf(spark_type)
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([flat_or_error(t) for t in texts.to_pylist()], arrow_type)
+        return pa.array([flat_or_error(t, mode) for t in texts.to_pylist()], arrow_type)
 
     # declared so, a filter on a member is not pushed below, where it would parse again
     return run.asNondeterministic()(xml)
@@ -47,6 +47,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def with_parsed(df: DataFrame, xml: str = "tei_xml", into: str = "flat") -> DataFrame:
+def with_parsed(df: DataFrame, xml: str = "tei_xml", into: str = "flat", mode: str = "compat") -> DataFrame:
     """Adds the parsed struct. It is computed once however many of its members are used: see the plan's single ArrowEvalPython."""
-    return df.withColumn(into, parse_tei(F.col(xml)))
+    return df.withColumn(into, parse_tei(F.col(xml), mode))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from typing import Any
 
-from .tei_schema import Element, check
+from .tei_schema import Element, check, read_leniently
 from .xml_reader import SPACE, parse_tree
 
 _RUN = re.compile(f"[{SPACE}]+")
@@ -70,12 +70,12 @@ def chunks(division: Element) -> list[str]:
     return out
 
 
-def sections(content: Element) -> list[dict[str, Any]]:
+def sections(content: Element, once: bool = False, inside: bool = False) -> list[dict[str, Any]]:
     """Pre-order; a division gives its own paragraphs as one section, and its content is then walked like any other,
-    so each of these paragraphs follows once more as a section without title."""
+    so each of these paragraphs follows once more as a section without title (unless ``once``)."""
     out: list[dict[str, Any]] = []
     for name, item in content.items:
-        if name == "p":
+        if name == "p" and not (once and inside):
             text = inline_text(item)
             if text:
                 out.append({"title": "", "text_chunks": [text]})
@@ -85,7 +85,7 @@ def sections(content: Element) -> list[dict[str, Any]]:
             own = [t for t in (inline_text(x) for n, x in item.items if n == "p") if t]
             if title or own:
                 out.append({"title": title or "", "text_chunks": own})
-            out += sections(item)
+            out += sections(item, once, True)
     return out
 
 
@@ -128,6 +128,7 @@ def _bibl(bibl: Element) -> dict[str, Any]:
             }
         )
     return {
+        "id": None,
         "analytic": _work(analytic) if analytic else None,
         "monogrs": monogrs,
         "series_idnos": [_typed(i) for i in series.many("idno")] if series else [],
@@ -145,9 +146,38 @@ def _through_divs(content: Element, wanted: str) -> list[Element]:
     return out
 
 
-def flat_document(xml: str) -> dict[str, Any]:
-    """The flat record of a document; raises a ``ValueError`` that says what is wrong with it."""
-    tei = check(parse_tree(xml))
+def _figure(f: Element) -> dict[str, Any]:
+    return {"id": None, "labels": [inline_text(x) for x in f.many("label")], "caption": figure_caption(f)}
+
+
+def _table(t: Element) -> dict[str, Any]:
+    return {"id": None, "heads": [inline_text(x) for x in t.many("head")], "raw_content": table_text(t)}
+
+
+def _lenient(flat: dict[str, Any], body: Element, back: Element, bibls: list[Element]) -> dict[str, Any]:
+    """The same record with ids, every paragraph once, and tables lifted out of the figures that hold them."""
+    figures, tables = [], []
+    for part in (body, back):
+        for f in _through_divs(part, "figure"):
+            held = f.many("table")
+            if held or f.get("type") == "table":
+                tables.append({"id": f.get("xml:id"), "heads": [figure_caption(f), *(inline_text(x) for t in held for x in t.many("head"))], "raw_content": _joined([table_text(t) for t in held])})
+            else:
+                figures.append(_figure(f) | {"id": f.get("xml:id")})
+        tables += [_table(t) | {"id": t.get("xml:id")} for t in _through_divs(part, "table")]
+    references = [_bibl(b) | {"id": b.get("xml:id")} for b in bibls]
+    return flat | {"sections": sections(body, once=True), "figures": figures, "tables": tables, "references": references}
+
+
+def flat_document(xml: str, mode: str = "compat") -> dict[str, Any]:
+    """The flat record of a document; raises a ``ValueError`` that says what is wrong with it.
+
+    ``compat`` is strict and keeps every peculiarity of the projection; ``lenient`` takes what it can read.
+    """
+    if mode not in ("compat", "lenient"):
+        raise ValueError(f"unknown mode {mode!r}")
+    tree = parse_tree(xml)
+    tei = check(tree) if mode == "compat" else read_leniently(tree)
     header = tei.one("teiHeader")
     file = header.one("fileDesc")
     statement, publication, source = file.one("titleStmt"), file.one("publicationStmt"), file.one("sourceDesc")
@@ -161,7 +191,8 @@ def flat_document(xml: str) -> dict[str, Any]:
     figures = _through_divs(body, "figure") + _through_divs(back, "figure")
     tables = _through_divs(body, "table") + _through_divs(back, "table")
     bibls = source.many("biblStruct")
-    return {
+    listed = [b for x in _through_divs(back, "listBibl") for b in x.many("biblStruct")]
+    flat = {
         "titles": [_typed(t) for t in statement.many("title")],
         "authors": [_author(a) for a in statement.many("author")],
         "funders": [[*(o.text for o in f.many("orgName")), f.text] for f in statement.many("funder")],
@@ -172,7 +203,8 @@ def flat_document(xml: str) -> dict[str, Any]:
         "funding_orgs": [[*(n.text for n in o.many("orgName")), *(i.text for i in o.many("idno"))] for x in _through_divs(back, "listOrg") if x.get("type") == "funding" for o in x.many("org")],
         "acknowledgements": [c for name, d in back.items if name == "div" and d.get("type") == "acknowledgement" for c in chunks(d)],
         "sections": sections(body),
-        "figures": [{"labels": [inline_text(x) for x in f.many("label")], "caption": figure_caption(f)} for f in figures],
-        "tables": [{"heads": [inline_text(x) for x in t.many("head")], "raw_content": table_text(t)} for t in tables],
-        "references": [_bibl(b) for x in _through_divs(back, "listBibl") for b in x.many("biblStruct")],
+        "figures": [_figure(f) for f in figures],
+        "tables": [_table(t) for t in tables],
+        "references": [_bibl(b) for b in listed],
     }
+    return flat if mode == "compat" else _lenient(flat, body, back, listed)

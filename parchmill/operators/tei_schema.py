@@ -112,6 +112,32 @@ TYPES: dict[str, Record | Sequence] = {
 }
 
 
+def read_leniently(node: Node, kind: str = "Tei") -> Element:
+    """The node read as ``kind`` as far as it goes: unknown children are skipped, repeats may stand apart, text runs are
+    joined, of repeated single children the first counts, missing ones are empty, and figures may hold tables."""
+    spec = TYPES[kind]
+    out = Element(node.attributes)
+    if isinstance(spec, Sequence):
+        for child in node.children:
+            if isinstance(child, str):
+                if not blank(child):
+                    out.items.append(("$text", child))
+            elif child.name in spec.variants:
+                out.items.append((child.name, read_leniently(child, spec.variants[child.name])))
+        return out
+    fields = {**spec.fields, "table": ("Table", "*")} if kind == "Figure" else spec.fields
+    for child in node.children:
+        if isinstance(child, str):
+            if spec.text and not blank(child):
+                out.text = child if out.text is None else f"{out.text} {child}"
+        elif child.name in fields and (fields[child.name][1] == "*" or child.name not in out.fields):
+            out.fields.setdefault(child.name, []).append(read_leniently(child, fields[child.name][0]))
+    for name, (inner, times) in fields.items():
+        if times == "1" and name not in out.fields:
+            out.fields[name] = [read_leniently(Node(name, {}), inner)]
+    return out
+
+
 def check(node: Node, kind: str = "Tei") -> Element:
     """The node read as ``kind``; raises :class:`SchemaError` for the first breach."""
     spec = TYPES[kind]

@@ -6,15 +6,15 @@ _TYPED = "struct<type:string,level:string,text:string>"
 _AUTHOR_IN = f"struct<forenames:array<{_TYPED}>,surnames:array<string>,affiliations:array<struct<orgs:array<{_TYPED}>,settlements:array<string>,countries:array<string>>>>"
 _WORK = f"titles:array<{_TYPED}>,authors:array<{_AUTHOR_IN}>,idnos:array<{_TYPED}>"
 _BIBL = (
-    f"struct<analytic:struct<{_WORK}>,monogrs:array<struct<{_WORK},publishers:array<string>,dates:array<struct<when:string,text:string>>,"
+    f"struct<id:string,analytic:struct<{_WORK}>,monogrs:array<struct<{_WORK},publishers:array<string>,dates:array<struct<when:string,text:string>>,"
     f"scopes:array<struct<unit:string,from:string,to:string,text:string>>>>,series_idnos:array<{_TYPED}>,idnos:array<{_TYPED}>>"
 )
 #: What the parser returns: see :func:`parchmill.operators.tei_extract.flat_document`.
 FLAT = (
     f"struct<error:string,titles:array<{_TYPED}>,authors:array<{_AUTHOR_IN}>,funders:array<array<string>>,publishers:array<string>,bibl:{_BIBL},abstract:array<string>,"
     f"keywords:array<struct<terms:array<string>,text:string,items:array<string>>>,funding_orgs:array<array<string>>,acknowledgements:array<string>,"
-    f"sections:array<struct<title:string,text_chunks:array<string>>>,figures:array<struct<labels:array<string>,caption:string>>,"
-    f"tables:array<struct<heads:array<string>,raw_content:string>>,references:array<{_BIBL}>>"
+    f"sections:array<struct<title:string,text_chunks:array<string>>>,figures:array<struct<id:string,labels:array<string>,caption:string>>,"
+    f"tables:array<struct<id:string,heads:array<string>,raw_content:string>>,references:array<{_BIBL}>>"
 )
 
 _AFFILIATION = "struct<laboratory:string,department:string,institution:string,settlement:string,country:string>"

@@ -121,3 +121,26 @@ def test_parsed_once(spark, capsys):
     df.explain()
     plan = capsys.readouterr().out
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_lenient(spark):
+    body = (
+        '<div><head>A</head><p>x<quote>q</quote>y</p><p>z</p><div><p>n</p></div></div><figure xml:id="f0"><head>F</head></figure>'
+        '<figure type="table" xml:id="t0"><head>T</head><table><row><cell>a</cell><cell>b</cell></row></table></figure><table/>'
+    )
+    back = '<listBibl><biblStruct xml:id="b0"><monogr><title>M</title></monogr></biblStruct><biblStruct/></listBibl>'
+    xml = shell("<title>A</title><author/><title>B <hi>c</hi> d</title>", "", body, back)
+    rows = [(xml,), ("<TEI/>",), ("<TEI>",), (None,)]
+    df = with_parsed(spark.createDataFrame(rows, "tei_xml string").coalesce(1), mode="lenient").select("flat.error", paper(F.col("flat")).alias("p"))
+    got = df.collect()
+    p = got[0]["p"]
+    assert [(s["title"], s["text_chunks"]) for s in p["content"]["sections"]] == [("A", ["x y", "z"]), ("", ["n"])]
+    assert [f["id"] for f in p["content"]["figures"]] == ["f0"]
+    assert [(t["id"], t["caption"], t["raw_content"]) for t in p["content"]["tables"]] == [("t0", "T", "a b"), ("table-2", None, None)]
+    assert [r["id"] for r in p["content"]["references"]] == ["b0", "ref-2"] and p["core"]["title"] == "A"
+    assert got[1]["p"]["core"]["title"] is None and got[2]["error"] and got[3]["error"]
+    assert flat_or_error(xml)["error"]
+    with pytest.raises(ValueError):
+        from parchmill.operators.tei_extract import flat_document
+
+        flat_document("<TEI/>", "other")
