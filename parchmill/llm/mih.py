@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, read
-from .vectors import matrix, usable
+from .vectors import matrix, plain, unit, usable
 
 NEIGHBOURS = 10
 MAX_BITS = 64
@@ -123,32 +123,38 @@ def bound(cosine: np.ndarray, bits: int) -> np.ndarray:
     return bits * p + MARGIN * np.sqrt(bits * p * (1 - p))
 
 
-def _best(q_ids: np.ndarray, c_ids: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best columns of each row of scores; -2 marks what is left out. Equal scores: the lesser id first."""
-    scores = np.round(scores.astype(np.float64), 6)
+def _cosines(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of rows i of q and j of c in double precision, to 6 digits."""
+    out = np.empty(len(i))
+    for a in range(0, len(i), 1 << 15):
+        x, y = q[i[a : a + (1 << 15)]].astype(np.float64), c[j[a : a + (1 << 15)]].astype(np.float64)
+        out[a : a + (1 << 15)] = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+    return np.round(out, 6)
+
+
+def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best columns of each row of scores; -2 marks what is left out. Single precision proposes, double decides; equal ones by id."""
+    least = np.full((len(scores), 1), -1.5, np.float32)
     if scores.shape[1] > k:
-        # ties at the k-th place all stay here and are cut by id later
-        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, [scores.shape[1] - k]]
-    else:
-        least = np.full((len(scores), 1), -1.5)
-    i, j = np.nonzero((scores >= least) & (scores > -1.5))
-    if scores.shape[1] > k and len(i) > 4 * k * len(scores):
-        order = np.lexsort((c_ids[j], -scores[i, j], i))
-        i, j = i[order], j[order]
-        nth = np.arange(len(i)) - np.searchsorted(i, i)
-        i, j = i[nth < k], j[nth < k]
-    return pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(c_ids[j]), pa.array(scores[i, j])], names=["vec_id", "neighbor_id", "similarity"])
-
-
-def _within(ids: np.ndarray, codes: np.ndarray, x: np.ndarray, radius: int, k: int) -> Iterator[pa.RecordBatch]:
+        least = np.maximum(np.partition(scores, scores.shape[1] - k, axis=1)[:, [scores.shape[1] - k]] - np.float32(4e-6), least)
+    i, j = np.nonzero(scores >= least)
+    exact = _cosines(q, c, i, j)
+    order = np.lexsort((c_ids[j], -exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    top = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return pa.RecordBatch.from_arrays([pa.array(q_ids[i[top]]), pa.array(c_ids[j[top]]), pa.array(exact[top])], names=["vec_id", "neighbor_id", "similarity"])
+
+
+def _within(ids: np.ndarray, codes: np.ndarray, w: np.ndarray, radius: int, k: int) -> Iterator[pa.RecordBatch]:
     """All against all in one bucket, inside the radius."""
+    x = unit(w)
     step = max(1, 2_000_000 // len(ids))
     for a in range(0, len(ids), step):
         part = slice(a, a + step)
         scores = x[part] @ x.T
         scores[np.bitwise_count(codes[part, None] ^ codes) > radius] = -2
         scores[ids[part, None] == ids] = -2
-        yield _best(ids[part], ids, scores, k)
+        yield _best(ids[part], w[part], ids, w, scores, k)
 
 
 def _probe(radius: int, k: int):
@@ -160,7 +166,7 @@ def _probe(radius: int, k: int):
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held.clear()
             if rows.num_rows > 1:
-                yield from _within(rows.column("id").to_numpy(), rows.column("code").to_numpy().view(np.uint64), matrix(rows.column("v")), radius, k)
+                yield from _within(rows.column("id").to_numpy(), rows.column("code").to_numpy().view(np.uint64), plain(rows.column("v")), radius, k)
 
         for batch in batches:
             if not batch.num_rows:
@@ -179,13 +185,13 @@ def _probe(radius: int, k: int):
 
 
 def _blocks(df: DataFrame, count: int, prefix: str) -> DataFrame:
-    """Rows of up to about ``BLOCK`` vectors each: ids, codes and unit vectors as bytes."""
+    """Rows of up to about ``BLOCK`` vectors each: ids, codes and vectors as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(a, BLOCK)
-                x = matrix(part.column("v"))
+                x = plain(part.column("v"))
                 columns = [part.column("id").to_numpy().tobytes(), part.column("code").to_numpy().tobytes(), x.tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=[prefix + n for n in ("ids", "codes", "x")])
 
@@ -203,17 +209,18 @@ def _scan(bits: int, d: int, k: int):
                 q_ids, c_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
                 q_codes, c_codes = np.frombuffer(q_codes, np.uint64), np.frombuffer(c_codes, np.uint64)
                 q, c = np.frombuffer(q, np.float32).reshape(-1, d), np.frombuffer(c, np.float32).reshape(-1, d)
+                q_unit, c_unit = unit(q), unit(c)
                 step = max(1, 1_500_000 // len(c_ids))
                 for a in range(0, len(q_ids), step):
                     part = slice(a, a + step)
                     away = np.bitwise_count(q_codes[part, None] ^ c_codes)
-                    scores = q[part] @ c.T
+                    scores = q_unit[part] @ c_unit.T
                     scores[q_ids[part, None] == c_ids] = -2
                     if len(c_ids) > k + 1:
                         nearest = np.argpartition(away, k, axis=1)[:, : k + 1]
                         kth = np.partition(np.take_along_axis(scores, nearest, 1), 1, axis=1)[:, 1]
                         scores[away > bound(kth, bits)[:, None]] = -2
-                    yield _best(q_ids[part], c_ids, scores, k)
+                    yield _best(q_ids[part], q[part], c_ids, c, scores, k)
 
     return run
 
@@ -266,3 +273,12 @@ def neighbours(table: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(read(spark, sf_dir, "embeddings"))
+
+
+#: Exact search; on the small tables the operator finds the same.
+ORACLE = f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbor_id)::INT AS rank FROM p)
+SELECT vec_id, neighbor_id, rank, similarity FROM r WHERE rank <= {NEIGHBOURS}
+"""

@@ -18,12 +18,16 @@ def usable(table: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Unit rows of a list column whose lists are all of one length."""
+def plain(column: pa.Array) -> np.ndarray:
+    """The rows of a list column whose lists are all of one length, as they are."""
     count = len(column)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-    x = flat.reshape(count, -1) if count else np.empty((0, 0), np.float32)
-    return unit(x)
+    return flat.reshape(count, -1) if count else np.empty((0, 0), np.float32)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Unit rows of such a column."""
+    return unit(plain(column))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
