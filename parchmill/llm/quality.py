@@ -35,7 +35,7 @@ SPACE = 1 << BITS
 #: Letters of a word's beginning that make a feature.
 PREFIX = 4
 #: Bound of the training sample.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 8000
 SEEN = 3
 ROUNDS = 80
 PENALTY = 1e-4
@@ -97,10 +97,11 @@ def probabilities(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
 def train(ids: np.ndarray, offsets: np.ndarray, grades: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> Model:
     """Maximum likelihood with an L2 penalty, by L-BFGS on all rows. Features seen in fewer than ``SEEN`` rows stay at 0."""
     n = len(grades)
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    used = (np.bincount(ids, minlength=SPACE) >= SEEN)[ids]
-    ids, row = ids[used], row[used]
-    names, ids = np.unique(ids, return_inverse=True)
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
+    often = np.bincount(ids, minlength=SPACE) >= SEEN
+    used = often[ids]
+    names = np.flatnonzero(often)
+    ids, row = (np.cumsum(often, dtype=np.int32) - 1)[ids[used]], row[used]
     share = np.array([(grades <= k).mean() for k in (0, 1)]).clip(1e-3, 1 - 1e-3)
     low = float(np.log(share[0] / (1 - share[0])))
     gap = float(np.log(max(np.log(share[1] / (1 - share[1])) - low, 0.1)))
