@@ -35,8 +35,10 @@ SPACE = 1 << BITS
 #: Letters of a word's beginning that make a feature.
 PREFIX = 4
 #: Bound of the training sample.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 20_000
 SEEN = 3
+#: Rows that one step of the fit works on: bounds its memory, not its result.
+STEP = 1000
 ROUNDS = 80
 PENALTY = 1e-4
 SELECT_FROM = 0.8
@@ -95,13 +97,15 @@ def probabilities(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
 
 
 def train(ids: np.ndarray, offsets: np.ndarray, grades: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> Model:
-    """Maximum likelihood with an L2 penalty, by L-BFGS on all rows. Features seen in fewer than ``SEEN`` rows stay at 0."""
+    """Maximum likelihood with an L2 penalty, by L-BFGS on all rows, block by block. Features seen in fewer than ``SEEN`` rows stay at 0."""
     n = len(grades)
-    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
-    often = np.bincount(ids, minlength=SPACE) >= SEEN
-    used = often[ids]
+    often = sum(np.bincount(ids[offsets[a] : offsets[min(a + STEP, n)]], minlength=SPACE) for a in range(0, n, STEP)) >= SEEN
     names = np.flatnonzero(often)
-    ids, row = (np.cumsum(often, dtype=np.int32) - 1)[ids[used]], row[used]
+    # one more place, always 0, for the features that are left out
+    short = np.where(often, np.cumsum(often) - 1, len(names)).astype(np.int32)
+    ids = short[ids]
+    sizes = np.diff(offsets)
+    blocks = [(a, min(a + STEP, n), np.repeat(np.arange(min(STEP, n - a), dtype=np.int16), sizes[a : a + STEP])) for a in range(0, n, STEP)]
     share = np.array([(grades <= k).mean() for k in (0, 1)]).clip(1e-3, 1 - 1e-3)
     low = float(np.log(share[0] / (1 - share[0])))
     gap = float(np.log(max(np.log(share[1] / (1 - share[1])) - low, 0.1)))
@@ -112,14 +116,20 @@ def train(ids: np.ndarray, offsets: np.ndarray, grades: np.ndarray, rounds: int
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         theta = np.array([w[-2], w[-2] + np.exp(min(w[-1], 20.0))])
-        score = np.bincount(row, w[ids], n)
+        weights = np.append(w[:-2], 0.0)
+        score = np.zeros(n)
+        for a, b, row in blocks:
+            score[a:b] = np.bincount(row, weights[ids[offsets[a] : offsets[b]]], b - a)
         upper = np.where(most, 1.0, _sigmoid(theta[np.minimum(grades, 1)] - score))
         lower = np.where(least, 0.0, _sigmoid(theta[np.maximum(grades - 1, 0)] - score))
         p = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
         t0 = -du[least].sum() + dl[grades == 1].sum()
         t1 = -du[grades == 1].sum() + dl[most].sum()
-        g = np.append(np.bincount(ids, (du - dl)[row], len(names)) / n + penalty * w[:-2], [(t0 + t1) / n, t1 * (theta[1] - theta[0]) / n])
+        flow, slope = du - dl, np.zeros(len(names) + 1)
+        for a, b, row in blocks:
+            slope += np.bincount(ids[offsets[a] : offsets[b]], flow[a:b][row], len(names) + 1)
+        g = np.append(slope[:-1] / n + penalty * w[:-2], [(t0 + t1) / n, t1 * (theta[1] - theta[0]) / n])
         return float(-np.log(p).mean() + 0.5 * penalty * (w[:-2] @ w[:-2])), g
 
     value, g = loss(w)
@@ -172,12 +182,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["doc_id", "ids"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isin(list(sample)))
-    got = {r["doc_id"]: np.frombuffer(r["ids"], np.int32) for r in chosen.mapInArrow(run, "doc_id bigint, ids binary").collect() if r["ids"]}
+    got = {r["doc_id"]: r["ids"] for r in chosen.mapInArrow(run, "doc_id bigint, ids binary").collect() if r["ids"]}
     if not got:
         return None
     keys = sorted(got)
-    offsets = np.concatenate(([0], np.cumsum([len(got[k]) for k in keys])))
-    return train(np.concatenate([got[k] for k in keys]), offsets, np.array([sample[k] for k in keys]))
+    offsets = np.concatenate(([0], np.cumsum([len(got[k]) // 4 for k in keys])))
+    ids = np.empty(offsets[-1], np.int32)
+    for k, a in zip(keys, offsets.tolist(), strict=False):
+        part = np.frombuffer(got.pop(k), np.int32)
+        ids[a : a + len(part)] = part
+    return train(ids, offsets, np.array([sample[k] for k in keys]))
 
 
 def grade(docs: DataFrame, model: Model | None, select_from: float = SELECT_FROM) -> DataFrame:
