@@ -183,7 +183,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     ranked = materialize(ranked.select("d", "k", "s", "c", "m", "nth").distinct(), "sa-stretches")
     copies = ranked.where("nth > 1").select("d", "k", "s", (F.col("s") + F.col("c") - 1 + RUN).alias("e"))
     first = ranked.where("nth = 1").groupBy("d", "k").agg(F.collect_list(F.struct("s", "c", "m")).alias("x"))
-    texts = base.join(first, base["d"].eqNullSafe(first["d"]) & base["k"].eqNullSafe(first["k"])).select(base["d"], base["k"], "text", "x").where("text is not null").dropDuplicates(["d", "k"])
+    # no filter on the texts here: their exchange is then the one of the last join, and is shuffled once for both
+    texts = base.join(first, base["d"].eqNullSafe(first["d"]) & base["k"].eqNullSafe(first["k"])).select(base["d"], base["k"], "text", "x").dropDuplicates(["d", "k"])
     contents = texts.select("d", "k", "text", "x").mapInArrow(_contents, "m bigint, d bigint, k bigint, s int, c int, w binary")
     folder = shared_dir(docs.sparkSession) + "/parchmill/suffix"
     ordered = contents.repartition("m").sortWithinPartitions("m").mapInArrow(_covered(folder), "d bigint, k bigint, s int, e int")
