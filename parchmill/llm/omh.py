@@ -9,7 +9,11 @@ sketches likely for texts of small edit distance, not merely of like content.
 Documents that share a sketch meet in a bucket. There the least id that
 matches no earlier leader in at least ``AGREE`` sketches becomes a leader, and
 every document is paired with every leader it so matches, so a bucket of n
-copies gives n pairs and nothing is capped. A pair counts when the
+copies gives n pairs. Then, in buckets whose documents verified pairs do not
+yet connect, everything outside the largest connected part is paired with all
+it matches in at least ``AGREE`` sketches outside its own part, first with the
+``NEAREST`` most alike, then with all, so that no rejected leader hides a
+pair: quadratic only in what stays unconnected, and nothing is capped. A pair counts when the
 alignment of its word sequences shows an edit similarity
 ``1 - distance / longer`` of at least ``THRESHOLD``; the band is doubled
 until the pair is accepted or the band holds every alignment that could pass.
@@ -25,7 +29,8 @@ is searched); an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +45,8 @@ K = 3
 PICK = 2
 SKETCHES = 28
 AGREE = 2
+#: Partners of each unlinked document that are aligned before all its others: saves alignments, changes no result.
+NEAREST = 4
 THRESHOLD = 0.8
 _EDGES = ".,;:!?\"'()[]{}<>*#$%&|/\\-_=+~`@^«»„“”"
 _PLACE = U64((1 << 24) - 1)
@@ -131,9 +138,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, key binary, n int, sk array<bigint>, sig binary")
 
 
-def _leaders(ids: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _leaders(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (leader, member) of one bucket whose rows are sorted by id."""
-    a, b = [], []
     led = np.zeros(len(ids), bool)
     for k in range(len(ids) - 1):
         if led[k]:
@@ -142,42 +148,70 @@ def _leaders(ids: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[list[np.n
         like &= np.minimum(n[k + 1 :], n[k]) >= THRESHOLD * np.maximum(n[k + 1 :], n[k])
         got = k + 1 + np.flatnonzero(like)
         led[got] = True
-        a.append(np.full(len(got), ids[k]))
-        b.append(ids[got])
-    return a, b
-
-
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets arrive sorted by (h, doc_id); one may span batches."""
+        yield np.full(len(got), ids[k]), ids[got]
+
+
+def _unlinked(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, label: np.ndarray, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one bucket across labels, of everything outside the largest label with all; with ``most``, only each one's most alike."""
+    names, nth, counts = np.unique(label, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return
+    outside = np.flatnonzero(nth != counts.argmax())
+    step = max(1, 4_000_000 // (len(ids) * SKETCHES))
+    for x in range(0, len(outside), step):
+        part = outside[x : x + step]
+        alike = (sig[part, None] == sig).sum(2)
+        alike[nth[part, None] == nth] = 0
+        alike[np.minimum(n[part, None], n) < THRESHOLD * np.maximum(n[part, None], n)] = 0
+        good = alike >= AGREE
+        if most is not None and len(ids) > most:
+            best = np.zeros_like(good)
+            np.put_along_axis(best, np.argpartition(-alike, most - 1, axis=1)[:, :most], True, axis=1)
+            good &= best
+        i, j = np.nonzero(good)
+        yield np.minimum(ids[part[i]], ids[j]), np.maximum(ids[part[i]], ids[j])
+
+
+def _bucket_pairs(of: Callable[..., Iterable[tuple[np.ndarray, np.ndarray]]]):
+    """Arrow worker: ``of`` each bucket. Buckets arrive sorted by (h, doc_id); one may span batches."""
 
     def emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
-        h, ids, n, sig = (np.concatenate(c) for c in zip(*rows, strict=True))
+        h, *columns = (np.concatenate(c) for c in zip(*rows, strict=True))
         cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
-        a, b = [], []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for x, y in zip(cuts, cuts[1:], strict=False):
-            if y - x > 1:
-                more = _leaders(ids[x:y], n[x:y], sig[x:y])
-                a += more[0]
-                b += more[1]
-        if a:
-            both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    held: list[tuple] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h, ids, n = (batch.column(c).to_numpy() for c in ("h", "doc_id", "n"))
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(len(h), SKETCHES)
-        last = int(np.flatnonzero(h[1:] != h[:-1])[-1]) + 1 if (h[1:] != h[:-1]).any() else 0
-        if last or (held and held[-1][0][-1] != h[0]):
-            held.append((h[:last], ids[:last], n[:last], sig[:last]))
-            yield from emit(held)
-            held = []
-        held.append((h[last:], ids[last:], n[last:], sig[last:]))
-    yield from emit(held)
+            for pair in of(*(c[x:y] for c in columns)) if y - x > 1 else ():
+                found.append(pair)
+                size += len(pair[0])
+                if size > 500_000:
+                    yield batch_of(found)
+                    found, size = [], 0
+        if found:
+            yield batch_of(found)
+
+    def batch_of(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        both = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, ids, n, label = (batch.column(c).to_numpy() for c in ("h", "doc_id", "n", "label"))
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(len(h), SKETCHES)
+            last = int(np.flatnonzero(h[1:] != h[:-1])[-1]) + 1 if (h[1:] != h[:-1]).any() else 0
+            if last or (held and held[-1][0][-1] != h[0]):
+                held.append((h[:last], ids[:last], n[:last], sig[:last], label[:last]))
+                yield from emit(held)
+                held = []
+            held.append((h[last:], ids[last:], n[last:], sig[last:], label[last:]))
+        yield from emit(held)
+
+    return run
 
 
 def distances(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
@@ -283,20 +317,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     units = materialize(signatures(docs).withColumn("rep", F.min("doc_id").over(same)), "omh-units")
     reps = units.where("doc_id = rep").groupBy("doc_id").agg(F.min_by(F.struct("key", "n", "sk", "sig"), "key").alias("s")).select("doc_id", "s.*")
     buckets = reps.select("doc_id", F.explode("sk").alias("h"))
-    shared = buckets.withColumn("size", F.count("*").over(W.partitionBy("h"))).where("size > 1").select("h", "doc_id")
-    met = shared.join(units.where("doc_id = rep").select("doc_id", "n", "sig", "key").groupBy("doc_id").agg(F.min_by(F.struct("n", "sig"), "key").alias("s")).select("doc_id", "s.*"), "doc_id")
-    pairs = materialize(
-        met.select("h", "doc_id", "n", "sig").repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(_bucket_pairs, "a bigint, b bigint").distinct(), "omh-pairs"
-    )
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    shared = materialize(buckets.withColumn("size", F.count("*").over(W.partitionBy("h"))).where("size > 1").select("h", "doc_id"), "omh-shared")
+    marks = reps.select("doc_id", "n", "sig")
+    wanted = shared.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     # a merge join at every size: with few ids they would be broadcast, with many not, and no small run would foretell a large one
     words = texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_word_arrays, "doc_id bigint, key binary, words binary")
     words = materialize(words.groupBy("doc_id").agg(F.min_by("words", "key").alias("words")), "omh-words")
-    joined = pairs.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b").select("a", "b", "wa", "wb")
-    # cheap rows, costly work: as many tasks as cores, whatever the bytes
-    edges = materialize(joined.mapInArrow(_verify, "u bigint, v bigint, similarity double"), "omh-edges")
+
+    def meet(labelled: DataFrame, of: Callable) -> DataFrame:
+        met = labelled.join(marks, "doc_id").select("h", "doc_id", "n", "sig", "label")
+        return met.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(_bucket_pairs(of), "a bigint, b bigint").distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b").select("a", "b", "wa", "wb")
+        # cheap rows, costly work: as many tasks as cores, whatever the bytes
+        return materialize(joined.mapInArrow(_verify, "u bigint, v bigint, similarity double"), "omh-edges")
+
+    tried = materialize(meet(shared.withColumn("label", F.col("doc_id")), _leaders), "omh-pairs")
+    edges = verified(tried)
     roots = components(edges, "omh")
+    for most in (NEAREST, None):
+        labelled = shared.join(roots.toDF("doc_id", "root"), "doc_id", "left").select("h", "doc_id", F.coalesce("root", "doc_id").alias("label"))
+        split = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
+        more = materialize(meet(labelled.join(split, "h", "left_semi"), partial(_unlinked, most=most)).join(tried, ["a", "b"], "left_anti"), "omh-pairs")
+        if not more.isEmpty():
+            tried, edges = tried.union(more), edges.union(verified(more))
+            roots = components(edges, "omh")
     best = (
         edges.union(edges.select("v", "u", "similarity"))
         .groupBy(F.col("u").alias("rep"))

@@ -110,3 +110,18 @@ def test_big_group_and_chain(spark):
     got = {r["doc_id"]: r["kept_id"] for r in omh.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert set(range(1, 300)) == {i for i, k in got.items() if k == 0}
     assert {i for i, k in got.items() if k == 1000} == {1001, 1002, 1003, 1004}
+
+
+def test_copies_near_the_last_only(spark):
+    """Copies near their original, which has the last id, but not near each other."""
+    rng = np.random.default_rng(11)
+    base = prose(11, 200).split(" ")
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in rng.choice(200, 28, replace=False):
+            w[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    rows.append((60, " ".join(base)))
+    got = {r["doc_id"]: r["kept_id"] for r in omh.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(got.get(i, i) == got[60] for i in range(61)) >= 58
