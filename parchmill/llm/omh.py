@@ -44,7 +44,7 @@ from .common import Memo, U64, binary, components, look_up, materialize, mix, ra
 K = 3
 PICK = 2
 SKETCHES = 28
-AGREE = 2
+AGREE = 1
 #: Partners of each unlinked document that are aligned before all its others: saves alignments, changes no result.
 NEAREST = 4
 THRESHOLD = 0.8

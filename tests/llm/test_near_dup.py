@@ -125,3 +125,18 @@ def test_copies_near_the_last_only(spark):
     rows.append((60, " ".join(base)))
     got = {r["doc_id"]: r["kept_id"] for r in omh.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert sum(got.get(i, i) == got[60] for i in range(61)) >= 58
+
+
+@pytest.mark.parametrize("share", [0.8, 0.85])
+@pytest.mark.parametrize("size", [20, 50, 200])
+def test_pairs_near_the_threshold_are_proposed(share, size):
+    """Single pairs just above the threshold share the sketches that a pair needs."""
+    rng = np.random.default_rng(size)
+    found = []
+    for _ in range(200):
+        a = rng.integers(1, 1 << 62, size).astype(np.uint64)
+        b = a.copy()
+        b[rng.choice(size, round((1 - share) * size), replace=False)] += np.uint64(1)
+        s = omh.sketch(*omh.kmers(np.concatenate([a, b]), np.array([0, size, 2 * size])))
+        found.append((s[0] == s[1]).sum() >= omh.AGREE)
+    assert np.mean(found) >= 0.88
