@@ -3,7 +3,10 @@
 Target: source s should hold a share of all tokens in proportion to (its
 tokens) ** ``TEMPER``. Every document of a source has the same inclusion
 probability, and the scale is the largest at which none exceeds 1, so the
-source that is scarcest against its target is kept whole.
+source that is scarcest against its target is kept whole. Where that would keep
+less than ``KEEP`` of all tokens, as one tiny source would have it, the scale is
+the one that keeps so many: sources scarcer than it asks for are kept whole and
+fall short of their target by the rest, the others hold theirs.
 
 The flight moves the probabilities of p + 1 documents at a time through the
 null space of their p balancing equations (documents and tokens of the source)
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import materialize, mix, read
 
 TEMPER = 0.7
+#: Share of all tokens that is kept at least, though scarce sources fall short of their targets then.
+KEEP = 0.3
 SEED = 6
 #: Documents of one flight group: bounds a worker's memory and time, not the result's balance.
 GROUP = 20_000
@@ -97,7 +102,17 @@ def rates(stats: list[tuple[str | None, int, int]], temper: float = TEMPER) -> d
     if not with_tokens:
         return {s: 1.0 for s, _, _ in stats}
     wanted = {s: float(t) ** temper for s, t in with_tokens}
-    scale = min(t / wanted[s] for s, t in with_tokens)
+    # by how scarce a source is against its target; the scarcest is whole first as the scale grows
+    order = sorted(with_tokens, key=lambda x: x[1] / wanted[x[0]])
+    budget, whole, open_ = KEEP * sum(t for _, t in order), 0, sum(wanted.values())
+    scale = order[0][1] / wanted[order[0][0]]
+    for s, t in order:
+        if scale * open_ + whole >= budget:
+            break
+        scale = (budget - whole) / open_
+        if scale <= t / wanted[s]:
+            break
+        whole, open_ = whole + t, open_ - wanted[s]
     return {s: min(1.0, scale * wanted[s] / t) if t > 0 else 1.0 for s, _, t in stats}
 
 

@@ -165,6 +165,17 @@ def test_rates():
     assert mixing.rates([]) == {} and mixing.rates([("a", 2, 0)]) == {"a": 1.0}
 
 
+def test_a_tiny_source_does_not_set_the_volume():
+    """The budget is met, the tiny source is whole, and the others keep their proportion."""
+    stats = [("a", 9, 5 * 10**9), ("b", 9, 10**8), ("c", 1, 12)]
+    r = mixing.rates(stats)
+    assert r["c"] == 1.0 and sum(r[s] * t for s, _, t in stats) == pytest.approx(mixing.KEEP * sum(t for _, _, t in stats))
+    assert r["a"] * 50 / r["b"] == pytest.approx(50**mixing.TEMPER)
+    many = [(f"s{k}", 1, 1 + k % 7) for k in range(1000)] + [("a", 9, 10**7)]
+    r = mixing.rates(many)
+    assert sum(r[s] * t for s, _, t in many) == pytest.approx(mixing.KEEP * sum(t for _, _, t in many)) and all(r[f"s{k}"] == 1.0 for k in range(1000))
+
+
 @pytest.mark.parametrize("group", [mixing.GROUP, 40])
 def test_mixture_hits_its_targets(spark, group, monkeypatch):
     monkeypatch.setattr(mixing, "LANDING", 30 if group == 40 else mixing.LANDING)
