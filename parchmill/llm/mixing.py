@@ -42,7 +42,7 @@ KEEP = 0.3
 SEED = 6
 #: Documents of one flight group: bounds a worker's memory and time, not the result's balance.
 GROUP = 20_000
-#: Fractional documents in all below which the driver takes the last flight and the landing.
+#: Fractional documents of one source up to which they fly together and land, whatever the number of sources.
 LANDING = 20_000
 EPS = 1e-9
 
@@ -196,11 +196,16 @@ def sample(docs: DataFrame, temper: float = TEMPER, seed: int = SEED, group: int
 
     open_ = (F.col("x") > 0) & (F.col("x") < 1)
     whole = materialize(fly(first, False, 0), "mix-flight")
-    drawn, left, turn = whole.where("x = 1"), whole.where(open_), 1
-    while (n := left.count()) > LANDING:
+    drawn, left, turn, most = whole.where("x = 1"), whole.where(open_), 1, None
+    while True:
+        sizes = left.groupBy("nth").agg(F.count("*").alias("n"))
+        before, most = most, sizes.agg(F.max("n")).first()[0] or 0
+        if most <= LANDING or (before is not None and most >= before):
+            break
         # a source's leftovers meet in ever fewer groups
-        groups = max(1, n // group)
-        again = materialize(fly(left.withColumn("g", F.xxhash64("nth", F.pmod(F.xxhash64("r", F.lit(turn)), F.lit(groups)))), False, turn), "mix-flight")
+        counted = left.drop("g").join(sizes, "nth")
+        again = counted.withColumn("g", F.xxhash64("nth", F.pmod(F.xxhash64("r", F.lit(turn)), F.ceil(F.col("n") / group)))).drop("n")
+        again = materialize(fly(again, False, turn), "mix-flight")
         drawn, left, turn = drawn.union(again.where("x = 1")), again.where(open_), turn + 1
     final = fly(left.withColumn("g", F.col("nth").cast("long")), True, turn).where("x = 1")
     return drawn.union(materialize(final, "mix-landing")).select("doc_id", "source", F.col("t").alias("n_tokens"), F.round("rate", 9).alias("rate"), "k")

@@ -192,6 +192,24 @@ def test_mixture_hits_its_targets(spark, group, monkeypatch):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in again.collect())
 
 
+def test_many_small_sources_end(spark, monkeypatch):
+    """More fractional documents in all than LANDING, few of each source."""
+    monkeypatch.setattr(mixing, "LANDING", 20)
+    turns = []
+    real = mixing.materialize
+
+    def counted(df, tag):
+        turns.append(tag)
+        assert len(turns) < 9, "never ends"
+        return real(df, tag)
+
+    monkeypatch.setattr(mixing, "materialize", counted)
+    rows = [row(i, "a b c " * (2 + i % 3), source=f"s{i}") for i in range(60)] + [row(1000 + i, "d e " * (1 + i % 9), source="hot") for i in range(400)]
+    got = mixing.sample(spark.createDataFrame(rows, SCHEMA), group=15).collect()
+    hot = [r for r in got if r["source"] == "hot"]
+    assert abs(len(hot) - 400 * hot[0]["rate"]) <= 2 and len({r["doc_id"] for r in got}) == len(got)
+
+
 def test_mixing_odd_rows(spark, odd, none, odd_rows):
     got = mixing.sample(odd).collect()
     assert len(got) <= len(odd_rows) and {r["source"] for r in got} == {"s0", None}
