@@ -7,13 +7,14 @@ of about log2(n / ``OCCUPANCY``) bits. Codes within Hamming radius m - 1 agree
 in at least one substring (pigeonhole), so the buckets of equal substrings hold
 every code within that radius; these are reranked by their floats.
 
-How far out the k nearest can lie is known afterwards: if the k-th cosine
-found is c, a nearer vector differs in about bits * acos(c) / pi bits, give or
-take. A query is settled once the searched radius exceeds that by ``MARGIN``
-standard deviations; its radius is widened to that bound otherwise. Such wide
-radii reach most buckets of every substring, so the remaining queries meet the
-codes block by block: each block is read whole, codes outside the radius are
-left out, and the rest reranked. Nothing is capped, and every row is a query.
+How far out the k nearest can lie is known afterwards. If the k-th cosine
+found is c, a nearer vector is at most D = sqrt(2 - 2c) away, before and after
+centring; seen from the mean, at the query's projected distance a, it is at
+most asin(D / a) off (anywhere, if D >= a). Codes at that angle differ in about
+bits * angle / pi bits, give or take. A query is settled once the searched
+radius exceeds that by ``MARGIN`` standard deviations. Wider radii reach most
+buckets of every substring, so the remaining queries meet all vectors block by
+block and are compared exactly. Nothing is capped, and every row is a query.
 
 Defined cases: vectors that are null, hold nulls or numbers that are not
 finite, or are zero are neither query nor answer; a row without id is left
@@ -117,12 +118,6 @@ def pieces(bits: int, count: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def bound(cosine: np.ndarray, bits: int) -> np.ndarray:
-    """Hamming radius beyond which vectors of at least this cosine are unlikely."""
-    p = np.arccos(np.clip(cosine, -1, 1)) / math.pi
-    return bits * p + MARGIN * np.sqrt(bits * p * (1 - p))
-
-
 def _cosines(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Cosines of rows i of q and j of c in double precision, to 6 digits."""
     out = np.empty(len(i))
@@ -185,41 +180,35 @@ def _probe(radius: int, k: int):
 
 
 def _blocks(df: DataFrame, count: int, prefix: str) -> DataFrame:
-    """Rows of up to about ``BLOCK`` vectors each: ids, codes and vectors as bytes."""
+    """Rows of up to about ``BLOCK`` vectors each: ids and vectors as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(a, BLOCK)
                 x = plain(part.column("v"))
-                columns = [part.column("id").to_numpy().tobytes(), part.column("code").to_numpy().tobytes(), x.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=[prefix + n for n in ("ids", "codes", "x")])
+                columns = [part.column("id").to_numpy().tobytes(), x.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=[prefix + n for n in ("ids", "x")])
 
     parts = max(1, -(-count // BLOCK))
-    return df.repartition(parts, "id").select("id", "code", "v").mapInArrow(run, f"{prefix}ids binary, {prefix}codes binary, {prefix}x binary")
+    return df.repartition(parts, "id").select("id", "v").mapInArrow(run, f"{prefix}ids binary, {prefix}x binary")
 
 
-def _scan(bits: int, d: int, k: int):
-    """Block against block: the radius of each query follows from its k best among the codes that are nearest here."""
+def _scan(d: int, k: int):
+    """Block against block, every query with every vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                q_ids, q_codes, q, c_ids, c_codes, c = (batch.column(j)[row].as_py() for j in range(6))
+                q_ids, q, c_ids, c = (batch.column(j)[row].as_py() for j in range(4))
                 q_ids, c_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
-                q_codes, c_codes = np.frombuffer(q_codes, np.uint64), np.frombuffer(c_codes, np.uint64)
                 q, c = np.frombuffer(q, np.float32).reshape(-1, d), np.frombuffer(c, np.float32).reshape(-1, d)
                 q_unit, c_unit = unit(q), unit(c)
                 step = max(1, 1_500_000 // len(c_ids))
                 for a in range(0, len(q_ids), step):
                     part = slice(a, a + step)
-                    away = np.bitwise_count(q_codes[part, None] ^ c_codes)
                     scores = q_unit[part] @ c_unit.T
                     scores[q_ids[part, None] == c_ids] = -2
-                    if len(c_ids) > k + 1:
-                        nearest = np.argpartition(away, k, axis=1)[:, : k + 1]
-                        kth = np.partition(np.take_along_axis(scores, nearest, 1), 1, axis=1)[:, 1]
-                        scores[away > bound(kth, bits)[:, None]] = -2
                     yield _best(q_ids[part], q[part], c_ids, c, scores, k)
 
     return run
@@ -238,19 +227,22 @@ def _search(vectors: DataFrame, d: int, count: int, k: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(coder.code(matrix(batch.column("v"))).view(np.int64)), batch.column("v")], names=["id", "code", "v"])
+                x = matrix(batch.column("v"))
+                off = np.linalg.norm(coder.project(x).astype(np.float64), axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(coder.code(x).view(np.int64)), pa.array(off), batch.column("v")], names=["id", "code", "off", "v"])
 
-    coded = materialize(vectors.select("id", "v").mapInArrow(encode, "id bigint, code bigint, v array<float>"), "mih-codes")
+    coded = materialize(vectors.select("id", "v").mapInArrow(encode, "id bigint, code bigint, off double, v array<float>"), "mih-codes")
     keys = F.array(*[F.xxhash64(F.lit(n), F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << size) - 1 if size < 64 else -1))) for n, (a, size) in enumerate(cut)])
     radius = len(cut) - 1
     buckets = coded.select("id", "code", "v", F.explode(keys).alias("b"))
     near = _ranked(buckets.repartition("b").sortWithinPartitions("b").select("b", "id", "code", "v").mapInArrow(_probe(radius, k), SCHEMA), k)
     near = materialize(near, "mih-near")
 
-    last = F.min("similarity")
-    p = F.acos(F.greatest(F.least(last, F.lit(1.0)), F.lit(-1.0))) / math.pi
+    kth = near.groupBy(F.col("vec_id").alias("id")).agg(F.count("*").alias("n"), F.min("similarity").alias("last")).where(F.col("n") >= k)
+    away = F.sqrt(F.greatest(2 - 2 * F.col("last"), F.lit(0.0)))
+    p = F.when(away < F.col("off"), F.asin(away / F.col("off")) / math.pi).otherwise(1.0)
     reach = bits * p + MARGIN * F.sqrt(bits * p * (1 - p))
-    settled = near.groupBy("vec_id").agg(F.count("*").alias("n"), reach.alias("reach")).where((F.col("n") >= k) & (F.col("reach") <= radius)).select(F.col("vec_id").alias("id"))
+    settled = kth.join(coded.select("id", "off"), "id").where(reach <= radius).select("id")
     settled = materialize(settled, "mih-settled")
     open_ = materialize(coded.join(settled, "id", "left_anti"), "mih-open")
     left = open_.count()
@@ -258,7 +250,7 @@ def _search(vectors: DataFrame, d: int, count: int, k: int) -> DataFrame:
     if not left:
         return done
     pairs = materialize(_blocks(open_, left, "q"), "mih-queries").crossJoin(materialize(_blocks(coded, count, "c"), "mih-blocks"))
-    far = _ranked(pairs.repartition(max(1, -(-left // BLOCK) * -(-count // BLOCK))).mapInArrow(_scan(bits, d, k), SCHEMA), k)
+    far = _ranked(pairs.repartition(max(1, -(-left // BLOCK) * -(-count // BLOCK))).mapInArrow(_scan(d, k), SCHEMA), k)
     return done.union(far.select("vec_id", "neighbor_id", "rank", "similarity"))
 
 

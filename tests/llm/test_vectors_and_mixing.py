@@ -55,6 +55,20 @@ def test_nearest(spark):
     assert {i for i in got if i >= 5000} == {5006, 5007} and got[5006] == [(1, 5007, got[5006][0][2])]
 
 
+def test_nearest_with_a_large_common_mean(spark):
+    """Clusters whose mean pairwise cosine is about 0.8."""
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(60, 64)), 25, axis=0) + rng.normal(scale=0.5, size=(1500, 64))
+    x = (x + 2.2 * 8 * np.linalg.qr(rng.normal(size=(64, 1)))[0].T).astype(np.float32)
+    s = cosines(x)
+    assert s[s > -2].mean() > 0.75
+    got = {}
+    for r in mih.neighbours(table(spark, list(enumerate(x.tolist())))).collect():
+        got.setdefault(r["vec_id"], []).append(r["neighbor_id"])
+    least = np.sort(s, axis=1)[:, -10] - 1e-6
+    assert np.mean([sum(s[i, j] >= least[i] for j in got[i]) / 10 for i in range(len(x))]) >= 0.97
+
+
 def test_buckets_hold_every_code_in_the_radius():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
