@@ -73,11 +73,17 @@ def _ssn(value: str) -> float:
     return 0.6 if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000" else 0.0
 
 
+#: French pairs and German area codes: plain digits otherwise, so they need a context word.
+_NATIONAL = re.compile(r"0[0-9](?:[ .-][0-9]{2}){4}|0[0-9]{2,4}[ /-][0-9]{6,8}")
+
+
 def _phone(value: str) -> float:
     digits = re.sub("[^0-9]", "", value)
     if not 10 <= len(digits) <= 15 or len(set(digits)) < 3:
         return 0.0
-    return 0.6 if value.startswith("+") or "(" in value else 0.5
+    if value.startswith("+") or "(" in value:
+        return 0.6
+    return 0.4 if _NATIONAL.fullmatch(value) else 0.5
 
 
 def _email(value: str) -> float:
@@ -86,10 +92,15 @@ def _email(value: str) -> float:
     return 0.0 if bad else 0.9
 
 
-def _secret(value: str) -> float:
-    body = value.split("_")[-1]
+def _dense(body: str) -> bool:
     entropy = -sum(n / len(body) * math.log2(n / len(body)) for n in Counter(body).values())
-    return 0.55 if entropy > 3.0 and re.search("[0-9]", body) and re.search("[A-Za-z]", body) else 0.0
+    return bool(entropy > 3.0 and re.search("[0-9]", body) and re.search("[A-Za-z]", body))
+
+
+def _secret(value: str) -> float:
+    # the last part, or all parts where they hold several digits
+    whole = re.sub("[_-]", "", re.split("[_-]", value, maxsplit=1)[-1])
+    return 0.55 if _dense(value.split("_")[-1]) or (len(re.findall("[0-9]", whole)) >= 4 and _dense(whole)) else 0.0
 
 
 class Kind(NamedTuple):
@@ -99,35 +110,49 @@ class Kind(NamedTuple):
     context: str
     #: What a context word adds.
     lift: float = 0.2
+    #: Whether a match that the validator rejects is tried without its last groups.
+    shorter: bool = False
 
 
 KINDS = (
     Kind("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-])", _email, r"e-?mail|mail|contact|correo|courriel", 0.1),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", _iban, r"iban|account|konto|compte|cuenta", 0.1),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", _iban, r"iban|account|konto|compte|cuenta", 0.1, True),
     Kind("card", r"(?<![0-9A-Za-z.+-])[2-6][0-9]{3}[ -]?(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}|[0-9]{6}[ -]?[0-9]{5})(?![0-9A-Za-z]|[.-][0-9])", _card, r"card|visa|master|credit|kredit|carte|tarjeta"),
     Kind("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", _ssn, r"ssn|social|security|tax"),
-    Kind("phone", r"(?<![0-9A-Za-z.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z]|[.-][0-9])", _phone, r"phone|tel|call|fax|mobile|handy|tél|llama"),
+    Kind("phone", r"(?<![0-9A-Za-z.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z.+-])(?:\+[1-9](?:[ .-]?[0-9]){9,14}|" + _NATIONAL.pattern + r")(?![0-9A-Za-z]|[.-][0-9])", _phone, r"phone|tel|call|fax|mobile|handy|tél|llama"),
     Kind("ip", r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])", _ip, r"\bip\b|host|server|address|adresse"),
-    Kind("secret", r"(?<![0-9A-Za-z_-])(?:(?:sk|pk|ghp|gho|xox[a-z])[_-][A-Za-z0-9_]{16,255}|AKIA[0-9A-Z]{16}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z_-])", _secret, r"token|key|secret|passw|auth|bearer"),
+    Kind("secret", r"(?<![0-9A-Za-z_-])(?:(?:sk|pk|ghp|gho|xox[a-z])[_-][A-Za-z0-9_-]{15,254}[A-Za-z0-9_]|AKIA[0-9A-Z]{16}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z_-])", _secret, r"token|key|secret|passw|auth|bearer"),
 )
 _COMPILED = [(k, re.compile(k.pattern), re.compile(k.context, re.IGNORECASE)) for k in KINDS]
 
 
+def _matches(kind: Kind, pattern: re.Pattern[str], text: str) -> Iterator[tuple[int, str, float]]:
+    """Place, value and base score of what the validator confirms."""
+    at = 0
+    while m := pattern.search(text, at):
+        a, value = m.start(), m.group()
+        at = a + 1 if kind.shorter else m.end()
+        score = kind.score(value)
+        while kind.shorter and not score and " " in value:
+            value = value.rsplit(" ", 1)[0]
+            score = kind.score(value)
+        if score:
+            at = a + len(value)
+            yield a, value, score
+
+
 def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, str, float]]:
     """``(kind, start, end, value, score)`` of a text, in order and without overlaps; positions count characters."""
     if not text:
         return []
     found = []
     for kind, pattern, context in _COMPILED:
-        for m in pattern.finditer(text):
-            score = kind.score(m.group())
-            if not score:
-                continue
-            a, b = m.span()
+        for a, value, score in _matches(kind, pattern, text):
+            b = a + len(value)
             if context.search(text, max(0, a - CONTEXT_CHARS), a) or context.search(text, b, b + CONTEXT_CHARS):
                 score = min(1.0, score + kind.lift)
             if score >= threshold:
-                found.append((kind.name, a, b, m.group(), round(score, 4)))
+                found.append((kind.name, a, b, value, round(score, 4)))
     found.sort(key=lambda s: (-s[4], s[1] - s[2], s[1]))
     kept: list[tuple[str, int, int, str, float]] = []
     if len(found) > 1:
