@@ -4,7 +4,7 @@ The network reads windows of ``WINDOW`` bytes in both directions, gives every
 byte a distribution over the languages and over "no language", and a document
 gets the mean over all its bytes. It is trained here, in numpy, by
 backpropagation through time and Adam, on a bounded sample of labelled rows
-(``TRAIN_ROWS`` documents, chosen by a hash of the id) and on generated noise
+(``TRAIN_ROWS`` documents, as many of each label, chosen by a hash of the id) and on generated noise
 for the class ``und``. Every document is read whole, window after window, at
 any length.
 
@@ -25,6 +25,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +37,8 @@ WINDOW = 96
 LANES = 1024
 #: Bound of the training sample: documents, and windows of each.
 TRAIN_ROWS = 1200
+#: Documents of each label, where it has them, however many labels there are.
+LABEL_ROWS = 30
 TRAIN_WINDOWS = 3
 STEPS = 340
 #: Mean probability of "no language" from which a document is rejected.
@@ -205,10 +208,12 @@ def pooled(m: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """Train on at most ``rows`` documents whose ``lang`` is known, spread over the labels by a hash of the id."""
+    """Train on documents whose ``lang`` is known: of each label ``rows`` / labels, at least ``LABEL_ROWS``, or all it has, by a hash of the id."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and trim(text) <> ''")
     order = [F.xxhash64("doc_id", F.lit(5)), "doc_id"]
-    ids = [r["doc_id"] for r in known.select("doc_id").where("doc_id is not null").orderBy(*order).limit(rows).collect()]
+    each = max(LABEL_ROWS, rows // max(1, known.select("lang").distinct().count()))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(*order))
+    ids = [r["doc_id"] for r in known.select("doc_id", "lang").where("doc_id is not null").withColumn("nth", nth).where(F.col("nth") <= each).select("doc_id").distinct().collect()]
     got = known.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.encode("text", "UTF-8").alias("bytes")).collect()
     if not got:
         return None

@@ -255,3 +255,11 @@ def test_values_of_every_form(text, kind, value):
 
 def test_bare_national_digits_stay():
     assert pii.find_spans("01 23 45 67 89") == [] and pii.find_spans("0171 2345678") == []
+
+
+def test_rare_language_is_drawn(spark, monkeypatch):
+    """Of a label with 0.05 % of the rows every row is in the sample."""
+    monkeypatch.setattr(langid, "train", lambda texts, langs: langs)
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('text ', id) as text", "case when id % 2000 = 7 then 'el' when id % 3 = 0 then 'de' else 'en' end as lang")
+    langs = langid.fit(docs)
+    assert langs.count("el") == 10 and langs.count("de") == langs.count("en") == langid.TRAIN_ROWS // 3
