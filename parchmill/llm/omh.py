@@ -6,15 +6,22 @@ element each time. Each of ``SKETCHES`` hash functions picks the ``PICK``
 least elements; the sketch hashes them *in text order*, which makes equal
 sketches likely for texts of small edit distance, not merely of like content.
 
-Documents that share a sketch meet in a bucket. There the least id that
-matches no earlier leader in at least ``AGREE`` sketches becomes a leader, and
-every document is paired with every leader it so matches, so a bucket of n
-copies gives n pairs. Then, in buckets whose documents verified pairs do not
-yet connect, everything outside the largest connected part is paired with all
-it matches in at least ``AGREE`` sketches outside its own part, first with the
+Documents that share a sketch meet in a bucket. Texts of edit similarity 0.8
+have a Jaccard overlap of at least 2/3 in their occurrence-labelled words, so
+only pairs count as candidates whose lengths allow that similarity and whose
+overlap, estimated from ``BINS`` bins of least word hashes, is at least
+``OVERLAP`` (three standard deviations below). Documents that merely share a
+passage meet in a bucket too, and end there.
+
+In a bucket the least id that is candidate to no earlier leader becomes a
+leader, and every document is paired with every leader it is candidate to, so
+a bucket of n copies gives n pairs. Then, in buckets whose documents verified
+pairs do not yet connect, everything outside the largest connected part is
+paired with all its candidates outside its own part, first with the
 ``NEAREST`` most alike, then with all, so that no rejected leader hides a
-pair: quadratic only in what stays unconnected, and nothing is capped. A pair counts when the
-alignment of its word sequences shows an edit similarity
+pair. Nothing is capped: a bucket of more than ``BLOCK`` documents is met block
+by block, and later block against block, each of which is a task's work. A pair
+counts when the alignment of its word sequences shows an edit similarity
 ``1 - distance / longer`` of at least ``THRESHOLD``; the band is doubled
 until the pair is accepted or the band holds every alignment that could pass.
 Groups are the connected components of such pairs, and the least id is kept.
@@ -44,12 +51,18 @@ from .common import Memo, U64, binary, components, look_up, materialize, mix, ra
 K = 3
 PICK = 2
 SKETCHES = 28
-AGREE = 1
+#: Bins of the word overlap's estimate, and the least estimate of a candidate pair.
+BINS = 128
+OVERLAP = 0.54
+#: Documents of one bucket that one step of a worker compares with each other.
+BLOCK = 8192
 #: Partners of each unlinked document that are aligned before all its others: saves alignments, changes no result.
 NEAREST = 4
 THRESHOLD = 0.8
 _EDGES = ".,;:!?\"'()[]{}<>*#$%&|/\\-_=+~`@^«»„“”"
-_PLACE = U64((1 << 24) - 1)
+#: Bits of a k-mer's position beside the upper bits of its hash, and the same for texts of more k-mers than those count.
+PLACE_BITS = 24
+LONG_PLACE_BITS = 40
 _MOST = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -100,17 +113,21 @@ def sketch(elements: np.ndarray, offsets: np.ndarray, count: int = SKETCHES) ->
     out = np.empty((len(starts), count), np.uint64)
     if not len(starts):
         return out
-    place = (np.arange(len(elements)) - np.repeat(starts, np.diff(offsets))).astype(np.uint64)
-    np.minimum(place, _PLACE, out=place)
+    counts = np.diff(offsets)
+    place = (np.arange(len(elements)) - np.repeat(starts, counts)).astype(np.uint64)
+    long_ = counts >= 1 << PLACE_BITS
+    bits = np.where(long_, U64(LONG_PLACE_BITS), U64(PLACE_BITS))
+    low = (U64(1) << bits) - U64(1)
+    keep = np.repeat(~low, counts) if long_.any() else ~low[0]
     y = np.empty_like(elements)
     for i, f in enumerate(_factors(count)):
         np.multiply(elements, f, out=y)
-        np.bitwise_and(y, ~_PLACE, out=y)
+        np.bitwise_and(y, keep, out=y)
         np.bitwise_or(y, place, out=y)
         picks = []
         for _ in range(PICK):
             least = np.minimum.reduceat(y, starts)
-            at = starts + np.where(least == _MOST, picks[-1] - starts if picks else 0, (least & _PLACE).astype(np.int64))
+            at = starts + np.where(least == _MOST, picks[-1] - starts if picks else 0, (least & low).astype(np.int64))
             picks.append(at)
             y[at] = _MOST
         h = np.full(len(starts), i, np.uint64)
@@ -120,66 +137,93 @@ def sketch(elements: np.ndarray, offsets: np.ndarray, count: int = SKETCHES) ->
     return out
 
 
+def bags(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """``(documents, BINS)`` bytes: of each bin of a text's occurrence-labelled words 8 bits of the least hash, 0 for an empty bin."""
+    rows = len(offsets) - 1
+    room = U64(40)  # bits of a word's hash, the same whatever texts share the batch; its row is above
+    top = np.repeat(np.arange(rows, dtype=np.uint64), np.diff(offsets)) << room
+    ranked = np.sort(top | values >> (U64(64) - room))
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(ranked) else np.empty(0, bool)
+    nth = np.arange(len(ranked)) - np.maximum.accumulate(np.where(new, np.arange(len(ranked)), 0))
+    labelled = mix((ranked << (U64(64) - room)) + nth.astype(np.uint64) * U64(0xD1B54A32D192ED03))
+    ranked = np.sort(ranked >> room << room | labelled >> (U64(64) - room))
+    slot = (ranked >> room).astype(np.int64) * BINS + (ranked << (U64(64) - room) >> U64(57)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(slot) else np.empty(0, np.int64)
+    out = np.zeros(rows * BINS, np.uint8)
+    out[slot[first]] = np.maximum((ranked[first] << (U64(71) - room) >> U64(56)).astype(np.uint8), 1)
+    return out.reshape(rows, BINS)
+
+
+def overlaps(one: np.ndarray, bag: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard overlaps of one bag with each of ``bag``."""
+    same = np.bitwise_count((bag == one).view(np.uint64)).sum(1, dtype=np.int32)
+    neither = np.bitwise_count((bag | one == 0).view(np.uint64)).sum(1, dtype=np.int32)
+    return (same - neither) / np.maximum(BINS - neither, 1)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id``, hash ``key`` of the folded words, their number, bucket hashes ``sk`` and the same in 16 bits each, ``sig``."""
+    """``doc_id``, hash ``key`` of the folded words, their number ``n``, bucket hashes ``sk`` and ``bag`` for the word overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1_000_000):
             values, offsets = folded_words(binary(batch.column(1)).to_pylist())
             has = np.diff(offsets) > 0
             keys = [xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b, h in zip(offsets, offsets[1:], has, strict=False) if h]
-            sk = sketch(*kmers(values, np.concatenate((offsets[:-1][has], offsets[-1:]))))
-            sig = np.ascontiguousarray((sk >> U64(48)).astype(np.uint16))
+            within = np.concatenate((offsets[:-1][has], offsets[-1:]))
+            sk, bag = sketch(*kmers(values, within)), bags(values, within)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sk) + 1, dtype=np.int32) * SKETCHES), pa.array(sk.view(np.int64).ravel()))
             ids = batch.column(0).filter(pa.array(has))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(np.diff(offsets)[has].astype(np.int32)), lists, pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "key", "n", "sk", "sig"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(np.diff(offsets)[has].astype(np.int32)), lists, pa.array([b.tobytes() for b in bag], pa.binary())], names=["doc_id", "key", "n", "sk", "bag"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "doc_id bigint, key binary, n int, sk array<bigint>, sig binary")
+    return rows.mapInArrow(run, "doc_id bigint, key binary, n int, sk array<bigint>, bag binary")
 
 
-def _leaders(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (leader, member) of one bucket whose rows are sorted by id."""
+def _like(n: np.ndarray, bag: np.ndarray, k: int, of: np.ndarray) -> np.ndarray:
+    """Estimated overlap of row k with each row of ``of``, 0 where it is no candidate."""
+    fits = np.minimum(n[of], n[k]) >= THRESHOLD * np.maximum(n[of], n[k])
+    out = np.zeros(len(of))
+    out[fits] = overlaps(bag[k], bag[of[fits]])
+    return np.where(out >= OVERLAP, out, 0.0)
+
+
+def _leaders(ids: np.ndarray, n: np.ndarray, bag: np.ndarray, label: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (leader, member) of one bucket or block of it, whose rows are sorted by id."""
     led = np.zeros(len(ids), bool)
     for k in range(len(ids) - 1):
         if led[k]:
             continue
-        like = (sig[k + 1 :] == sig[k]).sum(1) >= AGREE
-        like &= np.minimum(n[k + 1 :], n[k]) >= THRESHOLD * np.maximum(n[k + 1 :], n[k])
-        got = k + 1 + np.flatnonzero(like)
+        rest = np.arange(k + 1, len(ids))
+        got = rest[_like(n, bag, k, rest) > 0]
         led[got] = True
         yield np.full(len(got), ids[k]), ids[got]
 
 
-def _unlinked(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, label: np.ndarray, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one bucket across labels, of everything outside the largest label with all; with ``most``, only each one's most alike."""
+def _unlinked(ids: np.ndarray, n: np.ndarray, bag: np.ndarray, label: np.ndarray, side: np.ndarray, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs across labels, and across sides where there are two; with ``most``, only each one's most alike.
+
+    Of all pairs across labels one is outside the largest label, so only those rows are gone through.
+    """
     names, nth, counts = np.unique(label, return_inverse=True, return_counts=True)
-    if len(names) < 2:
-        return
-    outside = np.flatnonzero(nth != counts.argmax())
-    step = max(1, 4_000_000 // (len(ids) * SKETCHES))
-    for x in range(0, len(outside), step):
-        part = outside[x : x + step]
-        alike = (sig[part, None] == sig).sum(2)
-        alike[nth[part, None] == nth] = 0
-        alike[np.minimum(n[part, None], n) < THRESHOLD * np.maximum(n[part, None], n)] = 0
-        good = alike >= AGREE
-        if most is not None and len(ids) > most:
-            best = np.zeros_like(good)
-            np.put_along_axis(best, np.argpartition(-alike, most - 1, axis=1)[:, :most], True, axis=1)
-            good &= best
-        i, j = np.nonzero(good)
-        yield np.minimum(ids[part[i]], ids[j]), np.maximum(ids[part[i]], ids[j])
+    two = bool((side != side[0]).any())
+    for k in np.flatnonzero(nth != counts.argmax()) if len(names) > 1 else ():
+        rest = np.flatnonzero((nth != nth[k]) & (side != side[k]) if two else nth != nth[k])
+        like = _like(n, bag, k, rest)
+        if most is not None and len(rest) > most:
+            chosen = np.argpartition(-like, most - 1)[:most]
+            rest, like = rest[chosen], like[chosen]
+        got = rest[like > 0]
+        yield np.minimum(ids[k], ids[got]), np.maximum(ids[k], ids[got])
 
 
 def _bucket_pairs(of: Callable[..., Iterable[tuple[np.ndarray, np.ndarray]]]):
-    """Arrow worker: ``of`` each bucket. Buckets arrive sorted by (h, doc_id); one may span batches."""
+    """Arrow worker: ``of`` each bucket, or block (pair) of a large one. They arrive sorted by (g, doc_id); one may span batches."""
 
     def emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
-        h, *columns = (np.concatenate(c) for c in zip(*rows, strict=True))
-        cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
+        g, *columns = (np.concatenate(c) for c in zip(*rows, strict=True))
+        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
         found: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for x, y in zip(cuts, cuts[1:], strict=False):
@@ -201,14 +245,14 @@ def _bucket_pairs(of: Callable[..., Iterable[tuple[np.ndarray, np.ndarray]]]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, ids, n, label = (batch.column(c).to_numpy() for c in ("h", "doc_id", "n", "label"))
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(len(h), SKETCHES)
-            last = int(np.flatnonzero(h[1:] != h[:-1])[-1]) + 1 if (h[1:] != h[:-1]).any() else 0
-            if last or (held and held[-1][0][-1] != h[0]):
-                held.append((h[:last], ids[:last], n[:last], sig[:last], label[:last]))
+            g, ids, n, label, side = (batch.column(c).to_numpy() for c in ("g", "doc_id", "n", "label", "side"))
+            bag = np.frombuffer(b"".join(batch.column("bag").to_pylist()), np.uint8).reshape(len(g), BINS)
+            last = int(np.flatnonzero(g[1:] != g[:-1])[-1]) + 1 if (g[1:] != g[:-1]).any() else 0
+            if last or (held and held[-1][0][-1] != g[0]):
+                held.append((g[:last], ids[:last], n[:last], bag[:last], label[:last], side[:last]))
                 yield from emit(held)
                 held = []
-            held.append((h[last:], ids[last:], n[last:], sig[last:], label[last:]))
+            held.append((g[last:], ids[last:], n[last:], bag[last:], label[last:], side[last:]))
         yield from emit(held)
 
     return run
@@ -313,34 +357,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``partner_id`` is the most similar document it was verified against
     (similarity 1 for texts equal after folding).
     """
-    same = W.partitionBy("key")
-    units = materialize(signatures(docs).withColumn("rep", F.min("doc_id").over(same)), "omh-units")
-    reps = units.where("doc_id = rep").groupBy("doc_id").agg(F.min_by(F.struct("key", "n", "sk", "sig"), "key").alias("s")).select("doc_id", "s.*")
+    found = materialize(signatures(docs), "omh-signatures")
+    # only ids and keys are grouped, and they combine before the shuffle: a text of millions of copies is one row of each task
+    one = found.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    copies = found.select("doc_id", "key").join(one.where("copies > 1").select("key", "rep"), "key").where("doc_id <> rep").select("doc_id", "rep").distinct()
+    chosen = one.groupBy(F.col("rep").alias("doc_id")).agg(F.min("key").alias("key"))
+    reps = materialize(found.join(chosen, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id"]).drop("key"), "omh-reps")
     buckets = reps.select("doc_id", F.explode("sk").alias("h"))
-    shared = materialize(buckets.withColumn("size", F.count("*").over(W.partitionBy("h"))).where("size > 1").select("h", "doc_id"), "omh-shared")
-    marks = reps.select("doc_id", "n", "sig")
+    shared = materialize(buckets.withColumn("size", F.count("*").over(W.partitionBy("h"))).where("size > 1").select("h", "doc_id", "size"), "omh-shared")
+    marks = reps.select("doc_id", "n", "bag")
     wanted = shared.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     # a merge join at every size: with few ids they would be broadcast, with many not, and no small run would foretell a large one
     words = texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_word_arrays, "doc_id bigint, key binary, words binary")
     words = materialize(words.groupBy("doc_id").agg(F.min_by("words", "key").alias("words")), "omh-words")
 
-    def meet(labelled: DataFrame, of: Callable) -> DataFrame:
-        met = labelled.join(marks, "doc_id").select("h", "doc_id", "n", "sig", "label")
-        return met.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(_bucket_pairs(of), "a bigint, b bigint").distinct()
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+
+    def meet(labelled: DataFrame, of: Callable, across: bool) -> DataFrame:
+        """Pairs within each block of a bucket, or also of each two blocks."""
+        other = F.explode(F.sequence(F.lit(0), blocks - 1)) if across else own
+        placed = labelled.select("h", "doc_id", "label", own.alias("side"), other.alias("other"))
+        placed = placed.select(F.xxhash64("h", F.least("side", "other"), F.greatest("side", "other")).alias("g"), "doc_id", "label", "side")
+        met = placed.join(marks, "doc_id").select("g", "doc_id", "n", "bag", "label", "side")
+        return met.repartition("g").sortWithinPartitions("g", "doc_id").mapInArrow(_bucket_pairs(of), "a bigint, b bigint").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b").select("a", "b", "wa", "wb")
         # cheap rows, costly work: as many tasks as cores, whatever the bytes
         return materialize(joined.mapInArrow(_verify, "u bigint, v bigint, similarity double"), "omh-edges")
 
-    tried = materialize(meet(shared.withColumn("label", F.col("doc_id")), _leaders), "omh-pairs")
+    tried = materialize(meet(shared.withColumn("label", F.col("doc_id")), _leaders, False), "omh-pairs")
     edges = verified(tried)
     roots = components(edges, "omh")
     for most in (NEAREST, None):
-        labelled = shared.join(roots.toDF("doc_id", "root"), "doc_id", "left").select("h", "doc_id", F.coalesce("root", "doc_id").alias("label"))
+        labelled = shared.join(roots.toDF("doc_id", "root"), "doc_id", "left").select("h", "doc_id", "size", F.coalesce("root", "doc_id").alias("label"))
         split = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-        more = materialize(meet(labelled.join(split, "h", "left_semi"), partial(_unlinked, most=most)).join(tried, ["a", "b"], "left_anti"), "omh-pairs")
+        more = materialize(meet(labelled.join(split, "h", "left_semi"), partial(_unlinked, most=most), True).join(tried, ["a", "b"], "left_anti"), "omh-pairs")
         if not more.isEmpty():
             tried, edges = tried.union(more), edges.union(verified(more))
             roots = components(edges, "omh")
@@ -349,14 +403,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy(F.col("u").alias("rep"))
         .agg(F.max_by(F.struct(F.col("v").alias("partner"), "similarity"), F.struct("similarity", -F.col("v"))).alias("b"))
     )
-    found = units.select("doc_id", "rep").distinct().join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("kept_id", F.coalesce("root", "rep"))
-    found = found.where("doc_id <> kept_id").join(best, "rep", "left")
-    exact = F.col("doc_id") != F.col("rep")
-    return found.groupBy("doc_id").agg(
-        F.min("kept_id").alias("kept_id"),
-        F.min_by(F.when(exact, F.col("rep")).otherwise(F.col("b.partner")), "kept_id").alias("partner_id"),
-        F.max(F.when(exact, F.lit(1.0)).otherwise(F.col("b.similarity"))).alias("similarity"),
-    )
+    alike = roots.where("id <> root").join(best, roots["id"] == best["rep"], "left").select(F.col("id").alias("doc_id"), F.col("root").alias("kept_id"), F.col("b.partner").alias("partner_id"), F.col("b.similarity").alias("similarity"))
+    equal = copies.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("kept_id"), F.col("rep").alias("partner_id"), F.lit(1.0).alias("similarity"))
+    return alike.union(equal).where("doc_id <> kept_id").groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"), F.min_by("partner_id", F.struct("kept_id", -F.col("similarity"), "partner_id")).alias("partner_id"), F.max("similarity").alias("similarity"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:

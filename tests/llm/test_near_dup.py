@@ -138,5 +138,56 @@ def test_pairs_near_the_threshold_are_proposed(share, size):
         b = a.copy()
         b[rng.choice(size, round((1 - share) * size), replace=False)] += np.uint64(1)
         s = omh.sketch(*omh.kmers(np.concatenate([a, b]), np.array([0, size, 2 * size])))
-        found.append((s[0] == s[1]).sum() >= omh.AGREE)
+        bag = omh.bags(np.concatenate([a, b]), np.array([0, size, 2 * size]))
+        found.append((s[0] == s[1]).any() and omh.overlaps(bag[0], bag[1:])[0] >= omh.OVERLAP)
     assert np.mean(found) >= 0.88
+
+
+def test_overlap_estimate():
+    """Bags against the overlap counted over occurrence-labelled words, with repeated words and texts of any length."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for size in (1, 3, 30, 400, 5000):
+        a = rng.integers(1, max(2, size // 2), size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        b = a.copy()
+        gone = rng.choice(size, size // 4, replace=False)
+        b[gone] = rng.integers(1 << 40, 1 << 50, len(gone)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        texts += [a, b]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    bags = omh.bags(np.concatenate(texts), offsets)
+
+    def labelled(t):
+        seen = {}
+        return {(w, seen.setdefault(w, []).append(1) or len(seen[w])) for w in t.tolist()}
+
+    for k in range(0, len(texts), 2):
+        one, two = labelled(texts[k]), labelled(texts[k + 1])
+        assert omh.overlaps(bags[k], bags[k + 1 :])[0] == pytest.approx(len(one & two) / len(one | two), abs=0.13)
+        assert omh.overlaps(bags[k], bags[k : k + 1])[0] == 1.0
+        assert (omh.bags(texts[k], np.array([0, len(texts[k])])) == bags[k]).all()  # whatever else is in the batch
+    assert omh.bags(np.empty(0, np.uint64), np.zeros(1, int)).shape == (0, omh.BINS)
+
+
+def test_long_texts_keep_their_places(monkeypatch):
+    """Texts of more k-mers than the short position counts get the sketches of wide positions."""
+    values = np.random.default_rng(2).integers(1, 1 << 62, 3000).astype(np.uint64)
+    parts = np.array([0, 2000, 2600, 3000])
+    wide = omh.sketch(*omh.kmers(values, parts))
+    monkeypatch.setattr(omh, "PLACE_BITS", 10)
+    assert (omh.sketch(*omh.kmers(values, parts)) == wide).all()
+
+
+def test_blocks_of_a_bucket(spark, monkeypatch):
+    """A bucket larger than a block: groups whose members fall into different blocks, and texts that only share a passage."""
+    monkeypatch.setattr(omh, "BLOCK", 16)
+    shared = prose(20, 60)
+    rows, truth = [], {}
+    for group in range(12):
+        base = prose(100 + group, 140).split(" ")
+        for i in range(8):
+            w = list(base)
+            w[(7 * i) % 140] = f"own{i}"
+            rows.append((group * 8 + i, shared + " " + " ".join(w)))
+            truth[group * 8 + i] = group * 8
+    got = {r["doc_id"]: r["kept_id"] for r in omh.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i: got.get(i, i) for i in truth} == truth
