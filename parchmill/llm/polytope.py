@@ -11,9 +11,11 @@ buckets that cost least to reach by taking a second-best vertex.
 In a bucket, every pair counts whose cosine is at least ``THRESHOLD``. Leaders
 are taken in order of id; whoever reaches one joins it, and vectors outside
 the largest such cluster are compared with all others, so no pair of the bucket
-goes unseen while a bucket of n copies gives n edges. Groups are the connected
-components of the verified pairs, and the least id is kept. Equal vectors are
-searched once.
+goes unseen while a bucket of n copies gives n edges. A bucket of more than
+``BLOCK`` vectors is searched block by block, and then block against block for
+what is not connected yet. Groups are the connected components of the verified
+pairs, and the least id is kept. Equal vectors are searched once; the others
+follow it by two hashes of the vector, each in a row of its own.
 
 Defined cases: vectors that are null, hold nulls or numbers that are not
 finite, or are zero belong to no group; vectors of different lengths never
@@ -39,6 +41,8 @@ PROBES = 4
 THRESHOLD = 0.95
 #: Entries of turned vectors that one step holds.
 _STEP = 1 << 19
+#: Vectors of one bucket that one step of a worker compares with each other.
+BLOCK = 1 << 14
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -92,7 +96,7 @@ def buckets(x: np.ndarray, table: int, width: int, probes: int = PROBES) -> np.n
     return h
 
 
-def bucket_edges(ids: np.ndarray, x: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_edges(ids: np.ndarray, x: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what the pairs of cosine >= threshold connect; rows are sorted by id."""
     n = len(ids)
     leader = np.full(n, -1)
@@ -110,21 +114,28 @@ def bucket_edges(ids: np.ndarray, x: np.ndarray, threshold: float = THRESHOLD) -
         u.append(np.full(len(got), k))
         v.append(got)
     leader[n - 1] = n - 1 if leader[n - 1] < 0 else leader[n - 1]
-    clusters, counts = np.unique(leader, return_counts=True)
-    if len(clusters) > 1:
-        outside = np.flatnonzero(leader != clusters[counts.argmax()])
-        step = max(1, _STEP // n)
-        for a in range(0, len(outside), step):
-            part = outside[a : a + step]
-            i, j = np.nonzero(x[part] @ x.T >= near)
-            i = part[i]
-            cross = leader[i] != leader[j]
-            i, j = i[cross], j[cross]
-            good = cosine(x[i], x[j]) >= threshold
-            u.append(i[good])
-            v.append(j[good])
-    a, b = np.concatenate(u), np.concatenate(v)
-    return ids[a], ids[b], cosine(x[a], x[b])
+    i, j = cross_pairs(x, leader, np.zeros(n, int), threshold)
+    a, b = np.concatenate([*u, i]), np.concatenate([*v, j])
+    return ids[a], ids[b]
+
+
+def cross_pairs(x: np.ndarray, label: np.ndarray, side: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of cosine >= threshold across labels, and across sides where there are two."""
+    names, nth, counts = np.unique(label, return_inverse=True, return_counts=True)
+    near = np.float32(threshold - 1e-4)
+    two = bool((side != side[0]).any())
+    outside = np.flatnonzero(nth != counts.argmax()) if len(names) > 1 else np.empty(0, int)
+    step = max(1, _STEP // len(x))
+    found = [(np.empty(0, int), np.empty(0, int))]
+    for a in range(0, len(outside), step):
+        part = outside[a : a + step]
+        i, j = np.nonzero(x[part] @ x.T >= near)
+        i = part[i]
+        cross = (nth[i] != nth[j]) & (side[i] != side[j]) if two else nth[i] != nth[j]
+        i, j = i[cross], j[cross]
+        good = cosine(x[i], x[j]) >= threshold
+        found.append((i[good], j[good]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def _place(width: int):
@@ -142,58 +153,99 @@ def _place(width: int):
     return run
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, id); a bucket may span batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def _search(across: bool):
+    """Arrow worker over buckets, or blocks and pairs of blocks of large ones; rows are sorted by (g, id), and a bucket may span batches."""
 
-    def close() -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()
-        held.clear()
-        if rows and rows[0].num_rows > 1:
-            for batch in by_dimension(rows[0], "v"):
-                if batch.num_rows > 1:
-                    u, v, s = bucket_edges(batch.column("id").to_numpy(), matrix(batch.column("v")))
-                    if len(u):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(np.round(s, 6))], names=["u", "v", "similarity"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+            held.clear()
+            for batch in by_dimension(rows[0], "v") if rows and rows[0].num_rows > 1 else ():
+                if batch.num_rows < 2:
+                    continue
+                ids, x = batch.column("id").to_numpy(), matrix(batch.column("v"))
+                if across:
+                    i, j = cross_pairs(x, batch.column("label").to_numpy(), batch.column("side").to_numpy())
+                    u, v = ids[i], ids[j]
+                else:
+                    u, v = bucket_edges(ids, x)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = batch.column("g").to_numpy()
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and g[a] != last:
+                    yield from close()
+                last = g[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from close()
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h = batch.column("h").to_numpy()
-        cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if held and h[a] != last:
-                yield from close()
-            last = h[a]
-            held.append(batch.slice(a, b - a).select(["id", "v"]))
-    if held:
-        yield from close()
+    return run
 
 
 def near_duplicates(table: DataFrame) -> DataFrame:
-    """One row per vector that is not the first of its group: ``vec_id, kept_id, partner_id, similarity``."""
-    rows = usable(table)
-    same = materialize(rows.groupBy("v").agg(F.min("id").alias("id"), F.collect_list("id").alias("all")), "cp-vectors")
-    reps = same.select("id", "v")
+    """One row per vector that is not the first of its group: ``vec_id, kept_id, similarity``, the cosine of both."""
+    rows = materialize(usable(table), "cp-vectors")
+    # grouped are hashes and ids only, which combine before the shuffle
+    named = rows.select("id", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(10), "v").alias("b"))
+    one = named.groupBy("a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    equal = named.join(one.where("copies > 1"), ["a", "b"]).where("id <> rep").select("id", "rep")
+    reps = materialize(rows.join(equal.select("id"), "id", "left_anti"), "cp-distinct")
     count = reps.count()
     width = max(2, math.ceil(math.log(max(count, 2)) / math.log(128)))
     placed = reps.mapInArrow(_place(width), "id bigint, hs array<bigint>").select("id", F.explode("hs").alias("h")).distinct()
-    shared = placed.join(placed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "h", "left_semi")
-    met = shared.join(reps, "id").select("h", "id", "v")
-    found = met.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_search, "u bigint, v bigint, similarity double").distinct()
-    edges = materialize(found, "cp-edges")
+    placed = materialize(placed, "cp-placed")
+    shared = placed.join(placed.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "h")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+
+    def search(members: DataFrame, across: bool) -> DataFrame:
+        other = F.explode(F.sequence(F.lit(0), blocks - 1)) if across else own
+        sided = members.select("id", "h", "label", own.alias("side"), other.alias("other")).select("id", "label", "side", F.xxhash64("h", F.least("side", "other"), F.greatest("side", "other")).alias("g"))
+        met = sided.join(reps, "id").select("g", "id", "label", "side", "v")
+        return materialize(met.repartition("g").sortWithinPartitions("g", "id").mapInArrow(_search(across), "u bigint, v bigint").distinct(), "cp-edges")
+
+    edges = search(shared.withColumn("label", F.col("id")), False)
     roots = components(edges, "cp")
-    best = (
-        edges.union(edges.select("v", "u", "similarity"))
-        .groupBy(F.col("u").alias("rep"))
-        .agg(F.max_by(F.struct(F.col("v").alias("partner"), "similarity"), F.struct("similarity", -F.col("v"))).alias("b"))
-    )
-    units = same.select(F.col("id").alias("rep"), F.explode("all").alias("vec_id"))
-    out = units.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("kept_id", F.coalesce("root", "rep")).where("vec_id <> kept_id").join(best, "rep", "left")
-    exact = F.col("vec_id") != F.col("rep")
-    return out.select("vec_id", "kept_id", F.when(exact, F.col("rep")).otherwise(F.col("b.partner")).alias("partner_id"), F.when(exact, F.lit(1.0)).otherwise(F.col("b.similarity")).alias("similarity"))
+    large = shared.where(F.col("size") > BLOCK)
+    if not large.isEmpty():
+        label = F.coalesce("root", "id")
+        labelled = large.join(roots.withColumnRenamed("id", "m"), large["id"] == F.col("m"), "left").select("id", "h", "size", label.alias("label"))
+        split = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
+        edges = edges.union(search(labelled.join(split, "h", "left_semi"), True))
+        roots = components(edges, "cp")
+    alike = roots.where("id <> root").select("id", "root")
+    follow = equal.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
+    out = alike.union(follow).join(rows, "id").withColumnRenamed("v", "own").join(rows.toDF("root", "first"), "root")
+    # in double precision and in order of the entries, as SQL has it
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    similarity = F.round(dot("own", "first") / F.sqrt(dot("own", "own") * dot("first", "first")), 6)
+    return out.select(F.col("id").alias("vec_id"), F.col("root").alias("kept_id"), similarity.alias("similarity"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+#: Exact pairs, then their connected components; equal vectors are folded first, which keeps the recursion small.
+ORACLE = f"""
+WITH RECURSIVE u AS (
+  SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) >= 1e18)) = 0
+    AND len(list_filter(embedding, lambda x: abs(x) > 1e-18)) > 0 GROUP BY vec_id
+), f AS (SELECT vec_id, e, min(vec_id) OVER (PARTITION BY e) AS rep FROM u),
+r AS (SELECT vec_id, e FROM f WHERE vec_id = rep),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reach AS (SELECT x, y FROM p UNION SELECT reach.x, p.y FROM reach JOIN p ON p.x = reach.y),
+roots AS (SELECT x, least(x, min(y)) AS root FROM reach GROUP BY x),
+g AS (SELECT f.vec_id, f.e, coalesce(roots.root, f.rep) AS kept_id FROM f LEFT JOIN roots ON roots.x = f.rep)
+SELECT g.vec_id, g.kept_id, round(list_cosine_similarity(g.e, u.e), 6) AS similarity FROM g JOIN u ON u.vec_id = g.kept_id WHERE g.vec_id <> g.kept_id
+"""

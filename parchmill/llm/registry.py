@@ -14,4 +14,4 @@ QUERIES = {
     "op9_pii": pii.query,
     "op10_cross_polytope": polytope.query,
 }
-ORACLES: dict[str, str] = {"op2_sentence_spans": spans.ORACLE, "op3_multi_index_hashing": mih.ORACLE, "op4_suffix_array": sufdedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_sentence_spans": spans.ORACLE, "op3_multi_index_hashing": mih.ORACLE, "op4_suffix_array": sufdedup.ORACLE, "op10_cross_polytope": polytope.ORACLE}
