@@ -12,10 +12,14 @@ The flight moves the probabilities of p + 1 documents at a time through the
 null space of their p balancing equations (documents and tokens of the source)
 until one of them is 0 or 1. It runs side by side in groups of documents of
 one source, each balanced exactly; what stays fractional, at most p documents
-a group, flies again in larger groups, round by round, until at most p
-documents of each source are left. These land: of all outcomes of a source's
-last documents the one with the least squared relative error in documents and
-tokens is drawn.
+a group, flies again in fewer groups, round by round, until at most p
+documents of each source are left. These fly on across sources, which keeps
+the totals of documents and tokens, until at most p are left in all. They land
+by giving up one equation at a time: first tokens, so that two of them trade
+against each other, then documents, so that the last one is drawn by its
+probability. Every move keeps all expectations, so each document is drawn with
+exactly its source's rate, and the rounds end after about log(documents) of
+them whatever the number and sizes of sources.
 
 Tokens are counted as words. Defined cases: a null source is a source of its
 own; a null or empty text has no tokens and counts as a document; a source
@@ -26,7 +30,7 @@ rows are sampled as rows of their own; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +44,8 @@ TEMPER = 0.7
 #: Share of all tokens that is kept at least, though scarce sources fall short of their targets then.
 KEEP = 0.3
 SEED = 6
-#: Documents of one flight group: bounds a worker's memory and time, not the result's balance.
+#: Documents of one flight group: bounds a worker's memory and time, not the result's balance; 3 at least.
 GROUP = 20_000
-#: Fractional documents of one source up to which they fly together and land, whatever the number of sources.
-LANDING = 20_000
 EPS = 1e-9
 
 
@@ -82,38 +84,33 @@ def flight(x: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.nd
     return np.array(x)
 
 
-def land(x: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Rounds the last fractional units (few) to the outcome that misses documents and tokens the least."""
+def land(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Settles what a flight leaves: a flight without the equation of tokens leaves at most one unit, which is drawn."""
+    x = flight(x, np.zeros(len(x)), rng)
     open_ = np.flatnonzero((x > EPS) & (x < 1 - EPS))
-    x = np.round(np.where((x > EPS) & (x < 1 - EPS), x, np.round(x)), 12)
-    if not len(open_):
-        return x
-    cases = np.array(list(product((0.0, 1.0), repeat=len(open_))))
-    off = cases - x[open_]
-    cost = off.sum(1) ** 2 + ((off @ tokens[open_]) / max(1.0, float(tokens[open_].mean()))) ** 2
-    best = np.flatnonzero(cost <= cost.min() + 1e-12)
-    x[open_] = cases[rng.choice(best)]
-    return x
-
-
-def rates(stats: list[tuple[str | None, int, int]], temper: float = TEMPER) -> dict[str | None, float]:
-    """Inclusion probability of each source from rows (source, documents, tokens)."""
-    with_tokens = [(s, t) for s, _, t in stats if t > 0]
-    if not with_tokens:
-        return {s: 1.0 for s, _, _ in stats}
-    wanted = {s: float(t) ** temper for s, t in with_tokens}
-    # by how scarce a source is against its target; the scarcest is whole first as the scale grows
-    order = sorted(with_tokens, key=lambda x: x[1] / wanted[x[0]])
-    budget, whole, open_ = KEEP * sum(t for _, t in order), 0, sum(wanted.values())
-    scale = order[0][1] / wanted[order[0][0]]
-    for s, t in order:
-        if scale * open_ + whole >= budget:
-            break
-        scale = (budget - whole) / open_
-        if scale <= t / wanted[s]:
-            break
-        whole, open_ = whole + t, open_ - wanted[s]
-    return {s: min(1.0, scale * wanted[s] / t) if t > 0 else 1.0 for s, _, t in stats}
+    x[open_] = rng.random(len(open_)) < x[open_]
+    return np.round(x)
+
+
+def scale(sources: DataFrame, temper: float = TEMPER) -> float:
+    """What ``tokens ** temper`` is multiplied by, from rows (source, n, t); 0 where no source has tokens.
+
+    The tokens kept grow with the scale along a concave line of straight
+    pieces, so steps along the tangent reach the budget from below, in a few
+    small aggregates. Sums are of exact numbers, so their order changes nothing.
+    """
+    held = sources.where("t > 0").select("t", F.pow(F.col("t").cast("double"), F.lit(temper)).cast("decimal(28,6)").alias("w"), F.pow(F.col("t").cast("double"), F.lit(1 - temper)).alias("full"))
+    least, total = held.agg(F.min("full"), F.sum("t")).first()
+    if least is None:
+        return 0.0
+    while True:
+        whole, open_ = held.agg(F.sum(F.when(F.col("full") <= least, F.col("t")).otherwise(0)), F.sum(F.when(F.col("full") > least, F.col("w")))).first()
+        if not open_ or whole + least * float(open_) >= KEEP * total * (1 - 1e-12):
+            return least
+        after = (KEEP * total - whole) / float(open_)
+        if after <= least:
+            return least
+        least = after
 
 
 def _rng(seed: int, key: int) -> np.random.Generator:
@@ -121,13 +118,13 @@ def _rng(seed: int, key: int) -> np.random.Generator:
 
 
 def _fly(seed: int, last: bool):
-    """Arrow worker: groups arrive sorted by (g, r); a group's rows may span batches."""
+    """Arrow worker: groups arrive in order of g; a group's rows may span batches."""
 
     def work(rows: pa.Table) -> pa.RecordBatch:
         g, x, t, k = (rows.column(c).to_numpy() for c in ("g", "x", "t", "k"))
         rng = _rng(seed, int(mix(g[:1].astype(np.uint64) ^ k[:1].view(np.uint64))[0] >> np.uint64(1)))
         x = flight(x, t.astype(np.float64), rng)
-        return land(x, t.astype(np.float64), rng) if last else np.where(x < EPS, 0.0, np.where(x > 1 - EPS, 1.0, x))
+        return land(x, rng) if last else np.where(x < EPS, 0.0, np.where(x > 1 - EPS, 1.0, x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -176,39 +173,42 @@ def sample(docs: DataFrame, temper: float = TEMPER, seed: int = SEED, group: int
         ),
         "mix-units",
     )
-    stats = [(r["source"], r["n"], r["t"]) for r in units.groupBy("source").agg(F.count("*").alias("n"), F.sum("t").alias("t")).collect()]
-    stats.sort(key=lambda s: (s[0] is not None, s[0]))
-    spark = docs.sparkSession
-    rate = rates(stats, temper)
-    # the list of sources is joined in, at any length
-    plan = spark.createDataFrame([(s, rate[s], max(1, -(-n // group)), k) for k, (s, n, _) in enumerate(stats)], "source string, rate double, groups int, nth int")
+    sources = materialize(units.groupBy("source").agg(F.count("*").alias("n"), F.sum("t").alias("total")), "mix-sources")
+    by = scale(sources.withColumnRenamed("total", "t"), temper)
+    # the list of sources stays a table, at any length
+    rate = F.when(F.col("total") > 0, F.least(F.lit(1.0), F.lit(by) * F.pow(F.col("total").cast("double"), F.lit(temper - 1)))).otherwise(1.0)
+    plan = sources.select(F.col("source").alias("of"), rate.alias("rate"), F.ceil(F.col("n") / group).alias("groups"), F.xxhash64("source", F.col("source").isNull()).alias("nth"))
     first = (
-        units.join(plan, units["source"].eqNullSafe(plan["source"]))
-        .select("doc_id", units["source"], "t", "k", "rate", F.col("rate").alias("x"), "nth", F.xxhash64("k", F.lit(seed)).alias("r"), "groups")
+        units.join(plan, F.col("source").eqNullSafe(F.col("of")))
+        .select("doc_id", "source", "t", "k", "rate", F.col("rate").alias("x"), "nth", F.xxhash64("k", F.lit(seed)).alias("r"), "groups")
         .withColumn("g", F.xxhash64("nth", F.pmod(F.col("r"), F.col("groups"))))
         .drop("groups")
     )
-    schema = "doc_id bigint, source string, t bigint, k bigint, rate double, x double, nth int, r bigint, g bigint"
+    schema = "doc_id bigint, source string, t bigint, k bigint, rate double, x double, nth bigint, r bigint, g bigint"
 
     def fly(df: DataFrame, last: bool, turn: int) -> DataFrame:
-        ordered = df.repartition("g").sortWithinPartitions("g", "r", "doc_id")
+        # long documents first, so that what is left to the landing is short
+        ordered = df.repartition("g").sortWithinPartitions("g", F.desc("t"), "r", "doc_id")
         return ordered.select(*[c.split()[0] for c in schema.split(", ")]).mapInArrow(_fly(seed + 1000 * turn, last), schema)
 
     open_ = (F.col("x") > 0) & (F.col("x") < 1)
-    whole = materialize(fly(first, False, 0), "mix-flight")
-    drawn, left, turn, most = whole.where("x = 1"), whole.where(open_), 1, None
-    while True:
-        sizes = left.groupBy("nth").agg(F.count("*").alias("n"))
-        before, most = most, sizes.agg(F.max("n")).first()[0] or 0
-        if most <= LANDING or (before is not None and most >= before):
-            break
-        # a source's leftovers meet in ever fewer groups
-        counted = left.drop("g").join(sizes, "nth")
-        again = counted.withColumn("g", F.xxhash64("nth", F.pmod(F.xxhash64("r", F.lit(turn)), F.ceil(F.col("n") / group)))).drop("n")
-        again = materialize(fly(again, False, turn), "mix-flight")
-        drawn, left, turn = drawn.union(again.where("x = 1")), again.where(open_), turn + 1
-    final = fly(left.withColumn("g", F.col("nth").cast("long")), True, turn).where("x = 1")
-    return drawn.union(materialize(final, "mix-landing")).select("doc_id", "source", F.col("t").alias("n_tokens"), F.round("rate", 9).alias("rate"), "k")
+    rounds = [materialize(fly(first, False, 0), "mix-flight")]
+
+    def again(key: Column, count: Column, tag: int, last: bool) -> None:
+        """What the last round left, in new groups of one source or of all."""
+        counted = rounds[-1].where(open_).withColumn("n", count)
+        part = F.pmod(F.xxhash64("r", F.lit(len(rounds))), F.ceil(F.col("n") / group))
+        rounds.append(materialize(fly(counted.withColumn("g", F.xxhash64(key, part, F.lit(tag))), last, len(rounds)), "mix-flight"))
+
+    most = sources.agg(F.max("n")).first()[0] or 0
+    while most > group:
+        most = rounds[-1].where(open_).groupBy("nth").count().agg(F.max("count")).first()[0] or 0
+        again(F.col("nth"), F.count("*").over(W.partitionBy("nth")), 1, False)
+    left = 2 * group
+    while left > group:
+        left = rounds[-1].where(open_).count()
+        again(F.lit(0), F.lit(left), 2, left <= group)
+    return reduce(DataFrame.union, [r.where("x = 1") for r in rounds]).select("doc_id", "source", F.col("t").alias("n_tokens"), F.round("rate", 9).alias("rate"), "k")
 
 
 def drawn(docs: DataFrame) -> DataFrame:
