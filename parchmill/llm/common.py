@@ -48,12 +48,18 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor depend on executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/parchmill/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new name in the shared folder; what is written there is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/parchmill/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is None or sc._jsc.sc().isStopped():

@@ -2,12 +2,17 @@
 
 "Before" is the order of (doc_id, place). The work is split by content so that
 equal runs meet: a run's minimizer is the least hash among its ``SEED``-word
-pieces, and consecutive runs with one minimizer form one stretch of text. A
-repeated run has a repeated minimizer, so stretches whose minimizer is unique
-cannot hold one and go no further. Equal stretches are ranked by hash; all but
-the first are covered whole. The distinct stretches of each minimizer then
-enter :class:`SuffixOrder`, column by column, and wherever the common prefix
-of neighbours reaches ``RUN`` words, all but the first occurrence are covered.
+pieces (the first of equal ones), and its key is that together with the piece
+right before it, or after it where the run holds none before. Consecutive runs
+with one key form one stretch of text. A repeated run has a repeated key, so
+stretches whose key is unique cannot hold one and go no further. Equal
+stretches are ranked by hash; all but the first are covered whole. The distinct
+stretches of each key then enter :class:`SuffixOrder`, column by column through
+files of the shared folder, and wherever the common prefix of neighbours
+reaches ``RUN`` words, all but the first occurrence are covered. Stretches, of
+at most 92 words, are the strings of the collection, as a round passes over
+the whole transform: whole documents would need as many rounds as the longest
+has words.
 
 Words are runs of non-blank bytes, compared as they are, through hashes (64
 bits to find, 32 bits a word in the suffix order, of which ``RUN`` must agree).
@@ -32,13 +37,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Memo, binary, look_up, materialize, mix, ragged, read, shared_dir, slices, word_hash, words_of, worker_kept
+from .common import U64, Memo, binary, look_up, materialize, mix, ragged, read, scratch, slices, word_hash, words_of, worker_kept
 from .spans import keyed
 from .suffix import SuffixOrder
 
 RUN = 50
 SEED = 8
-#: Symbols that one suffix order takes before the next minimizer starts another.
+#: Symbols that one suffix order takes before the next key starts another.
 COLLECTION = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -52,10 +57,11 @@ def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stretches(values: np.ndarray, offsets: np.ndarray, run: int = RUN, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Stretches of all texts: row, first word ``s``, number ``c`` of runs, minimizer ``m``, hash ``h`` of the words,
+    """Stretches of all texts: row, first word ``s``, number ``c`` of runs, key ``m``, hash ``h`` of the words,
     and ``again``: whether the minimizer stands more than once in the stretch."""
     none = {"row": np.empty(0, np.int64), "s": np.empty(0, np.int64), "c": np.empty(0, np.int64), "m": np.empty(0, np.uint64), "h": np.empty(0, np.uint64), "again": np.empty(0, bool)}
     n, width = len(values), run - seed + 1
+    assert run >= 3 * seed, "a run must hold a piece before or after its minimizer"
     at = ragged(offsets[:-1], np.maximum(np.diff(offsets) - run + 1, 0))
     if not len(at):
         return none
@@ -65,13 +71,16 @@ def stretches(values: np.ndarray, offsets: np.ndarray, run: int = RUN, seed: int
         for j in range(seed):
             pieces[: n - j] += mixed[j:] * U64(pow(_BASE, j + 1, 1 << 64))
         pieces = mix(pieces)
-        least, span = pieces.copy(), 1
-        while span * 2 <= width:
-            least[:-span] = np.minimum(least[:-span], least[span:])
-            span *= 2
-        if width > span:
-            least[: n - (width - span)] = np.minimum(least[: n - (width - span)], least[width - span :])
-        m = least[at]
+        least, place, span = pieces.copy(), np.arange(n), 1
+        while span < width:
+            step = min(span, width - span)
+            later = least[step:] < least[:-step]
+            place[:-step] = np.where(later, place[step:], place[:-step])
+            least[:-step] = np.where(later, least[step:], least[:-step])
+            span += step
+        pivot = place[at]
+        beside = pieces[np.where(pivot - at >= seed, pivot - seed, pivot + seed)]
+        m = mix(least[at] + beside * U64(_BASE))
         new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (m[1:] != m[:-1])))
         # runs of one minimizer without end (one word over and over) are cut at a fixed length
         head = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
@@ -85,7 +94,7 @@ def stretches(values: np.ndarray, offsets: np.ndarray, run: int = RUN, seed: int
         size = count - 1 + run
         h = mix((sums[start + size] - sums[start]) * down[start] + size.astype(np.uint64))
         inside = count - 1 + width
-        seen = pieces[ragged(start, inside)] == np.repeat(m[first], inside)
+        seen = pieces[ragged(start, inside)] == np.repeat(least[start], inside)
         again = np.add.reduceat(seen.astype(np.int64), np.cumsum(inside) - inside) > 1
     row = np.searchsorted(offsets, start, side="right") - 1
     return {"row": row, "s": start - offsets[row], "c": count, "m": m[first], "h": h, "again": again}
@@ -117,55 +126,57 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _covered(folder: str):
-    """Arrow worker over stretches sorted by minimizer: the runs that the suffix order shows to be repeats."""
-
-    def order(rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.sort_by([("d", "ascending"), ("k", "ascending"), ("s", "ascending")]) if not rows.column("d").null_count else _nulls_first(rows)
-        symbols = [np.frombuffer(w, np.int32) for w in rows.column("w").to_pylist()]
-        built = SuffixOrder(np.concatenate(symbols), np.array([len(w) for w in symbols]), folder)
-        who = built.repeats(RUN)
-        built.close()
+    """Arrow worker over stretches sorted by key and place: the runs that the suffix order shows to be repeats."""
+
+    def repeats(built: SuffixOrder, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        who = built.build().repeats(RUN)
+        owner = pa.Table.from_batches(rows)
         # neighbouring runs of a stretch become one interval
         new = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1] + 1))) if len(who) else np.empty(0, np.int64)
         size = np.diff(np.append(new, len(who)))
         row = pa.array(who[new] >> np.int64(8))
-        base = rows.column("s").to_numpy()[who[new] >> np.int64(8)]
-        a = base + (who[new] & np.int64(255))
-        return pa.RecordBatch.from_arrays([_one(rows.column("d").take(row)), _one(rows.column("k").take(row)), pa.array(a.astype(np.int32)), pa.array((a + size - 1 + RUN).astype(np.int32))], names=["d", "k", "s", "e"])
+        a = owner.column("s").to_numpy()[who[new] >> np.int64(8)] + (who[new] & np.int64(255))
+        return pa.RecordBatch.from_arrays([_one(owner.column("d").take(row)), _one(owner.column("k").take(row)), pa.array(a.astype(np.int32)), pa.array((a + size - 1 + RUN).astype(np.int32))], names=["d", "k", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        built: SuffixOrder | None = None
+        rows: list[pa.RecordBatch] = []
         size, last = 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = batch.column("m").to_numpy()
-            cuts = [0, *(np.flatnonzero(m[1:] != m[:-1]) + 1).tolist(), len(m)]
-            weight = np.concatenate(([0], np.cumsum(batch.column("c").to_numpy() - 1 + RUN)))
-            begin = 0
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if size and size + weight[a] - weight[begin] >= COLLECTION and m[a] != last:
-                    if a > begin:
-                        held.append(batch.slice(begin, a - begin))
-                    yield order(pa.Table.from_batches(held))
-                    held, size, begin = [], 0, a
-                last = m[b - 1]
-                if not size:
-                    size = 1
-            held.append(batch.slice(begin))
-            size += int(weight[-1] - weight[begin])
-        if held:
-            yield order(pa.Table.from_batches(held))
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                m = batch.column("m").to_numpy()
+                cuts = [0, *(np.flatnonzero(m[1:] != m[:-1]) + 1).tolist(), len(m)]
+                lengths = batch.column("c").to_numpy() - 1 + RUN
+                weight = np.concatenate(([0], np.cumsum(lengths)))
+                begin = 0
+
+                def take(a: int, b: int) -> None:
+                    nonlocal built, size
+                    if a < b:
+                        built = built or SuffixOrder(folder)
+                        built.add(np.frombuffer(b"".join(batch.column("w").slice(a, b - a).to_pylist()), np.int32), lengths[a:b])
+                        rows.append(batch.select(["d", "k", "s"]).slice(a, b - a))
+                        size += int(weight[b] - weight[a])
+
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if m[a] != last and size + weight[a] - weight[begin] >= COLLECTION:
+                        take(begin, a)
+                        yield repeats(built, rows)
+                        built.close()
+                        built, rows, size, begin = None, [], 0, a
+                    last = m[b - 1]
+                take(begin, len(m))
+            if built:
+                yield repeats(built, rows)
+        finally:
+            if built:
+                built.close()
 
     return run
 
 
-def _nulls_first(rows: pa.Table) -> pa.Table:
-    import pyarrow.compute as pc
-
-    return rows.take(pc.sort_indices(rows, sort_keys=[("d", "ascending"), ("k", "ascending"), ("s", "ascending")], null_placement="at_start"))
-
-
 def _one(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
@@ -174,7 +185,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """``d, k, s, e``: word intervals of each text that repeat earlier ones.
 
     Shuffled are 41 bytes a stretch, the texts of documents that hold a
-    repeated minimizer, and 4 bytes a word of the distinct stretches among them.
+    repeated key, and 4 bytes a word of the distinct stretches among them.
     """
     base = keyed(docs)
     found = base.mapInArrow(_stretches, "d bigint, k bigint, s int, c int, m bigint, h bigint, again boolean")
@@ -186,8 +197,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     # no filter on the texts here: their exchange is then the one of the last join, and is shuffled once for both
     texts = base.join(first, base["d"].eqNullSafe(first["d"]) & base["k"].eqNullSafe(first["k"])).select(base["d"], base["k"], "text", "x").dropDuplicates(["d", "k"])
     contents = texts.select("d", "k", "text", "x").mapInArrow(_contents, "m bigint, d bigint, k bigint, s int, c int, w binary")
-    folder = shared_dir(docs.sparkSession) + "/parchmill/suffix"
-    ordered = contents.repartition("m").sortWithinPartitions("m").mapInArrow(_covered(folder), "d bigint, k bigint, s int, e int")
+    # ascending, a null id first, as everywhere: of equal runs the least place is the first
+    folder = scratch(docs.sparkSession, "suffix")
+    ordered = contents.repartition("m").sortWithinPartitions("m", "d", "k", "s").mapInArrow(_covered(folder), "d bigint, k bigint, s int, e int")
     return copies.union(ordered)
 
 

@@ -8,11 +8,11 @@ transform of the round before. The length of its common prefix with a
 neighbour is 1 plus the least common prefix between both tails, found in the
 array of the round before.
 
-The transform, the order and the common prefixes lie in chunks that each round
-reads and writes from front to back, three times: to find the places, to find
-the common prefixes, to merge. In memory there are only the symbols and places
-of one round, and one chunk. A small collection's chunks stay in memory; those
-of a larger one are files in the shared folder.
+The transform, the order and the common prefixes are files, one for each, that
+each round reads from front to back, chunk by chunk, three times (to find the
+places, to find the common prefixes, to merge) and writes anew in that order.
+The symbols are a file too, laid out by round. In memory there are only the
+symbols and places of one round, and one chunk.
 """
 
 from __future__ import annotations
@@ -22,9 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Entries of a chunk, and entries of a whole collection up to which no files are needed.
+#: Entries that are read at a time.
 CHUNK = 1 << 19
-IN_MEMORY = 1 << 23
 LOWEST = np.int64(np.iinfo(np.int32).min)
 _HALF = np.int64(1) << np.int64(32)
 COLUMNS = {"key": np.int64, "lcp": np.uint8, "who": np.int64, "bwt": np.int32}
@@ -32,31 +31,8 @@ COLUMNS = {"key": np.int64, "lcp": np.uint8, "who": np.int64, "bwt": np.int32}
 MAX_LENGTH = 250
 
 
-class MemoryChunks:
-    """The columns of each chunk, in memory."""
-
-    def __init__(self) -> None:
-        self.now: list[dict[str, np.ndarray]] = []
-        self.next: list[dict[str, np.ndarray]] = []
-
-    def sizes(self) -> list[int]:
-        return [len(c["who"]) for c in self.now]
-
-    def read(self, k: int, column: str) -> np.ndarray:
-        return self.now[k][column]
-
-    def write(self, chunk: dict[str, np.ndarray]) -> None:
-        self.next.append(chunk)
-
-    def turn(self) -> None:
-        self.now, self.next = self.next, []
-
-    def close(self) -> None:
-        self.now, self.next = [], []
-
-
-class FileChunks:
-    """The columns of each chunk as files of one folder; a round writes new files and drops those of the round before."""
+class Files:
+    """The columns as files of one folder; a round writes new ones from front to back and drops those of the round before."""
 
     def __init__(self, folder: str) -> None:
         from pyarrow import fs
@@ -65,32 +41,67 @@ class FileChunks:
         self.path = f"{path}/{uuid.uuid4().hex}"
         self.fs.create_dir(self.path, recursive=True)
         self.round = 0
-        self.now: list[int] = []
-        self.next: list[int] = []
-
-    def _name(self, turn: int, k: int, column: str) -> str:
-        return f"{self.path}/{turn}-{k}-{column}"
-
-    def sizes(self) -> list[int]:
-        return list(self.now)
+        self.sizes: list[int] = []
+        self.coming: list[int] = []
+        self.inputs: dict = {}
+        self.outputs = self._open()
+        self.symbols = self.fs.open_output_stream(f"{self.path}/symbols")
+        #: Strings, longest string and first byte of each part of the file of symbols.
+        self.parts: list[tuple[int, int, int]] = []
+        self.written = 0
+
+    def _open(self) -> dict:
+        return {c: self.fs.open_output_stream(f"{self.path}/{self.round + 1}-{c}") for c in COLUMNS}
+
+    def put_symbols(self, rounds: np.ndarray) -> None:
+        """The symbols of some strings, a row for each round."""
+        self.parts.append((rounds.shape[1], rounds.shape[0], self.written))
+        data = np.ascontiguousarray(rounds, np.int32).tobytes()
+        self.symbols.write(data)
+        self.written += len(data)
+
+    def end_symbols(self) -> None:
+        self.symbols.close()
+        self.symbols = self.fs.open_input_file(f"{self.path}/symbols")
+
+    def symbols_of(self, turn: int) -> np.ndarray:
+        """Symbols of all strings in this round; any number where a string has ended."""
+        out = [np.empty(0, np.int32)]
+        for count, longest, begin in self.parts:
+            if turn <= longest:
+                self.symbols.seek(begin + 4 * count * (turn - 1))
+                out.append(np.frombuffer(self.symbols.read(4 * count), np.int32))
+            else:
+                out.append(np.zeros(count, np.int32))
+        return np.concatenate(out)
 
     def read(self, k: int, column: str) -> np.ndarray:
-        with self.fs.open_input_stream(self._name(self.round, k, column)) as f:
-            return np.frombuffer(f.read(), COLUMNS[column]).copy()
-
-    def write(self, chunk: dict[str, np.ndarray]) -> None:
-        for column, values in chunk.items():
-            with self.fs.open_output_stream(self._name(self.round + 1, len(self.next), column)) as f:
-                f.write(np.ascontiguousarray(values, COLUMNS[column]).tobytes())
-        self.next.append(len(chunk["who"]))
+        kind = np.dtype(COLUMNS[column])
+        f = self.inputs[column]
+        f.seek(kind.itemsize * sum(self.sizes[:k]))
+        return np.frombuffer(f.read(kind.itemsize * self.sizes[k]), kind)
+
+    def write(self, entries: dict[str, np.ndarray], chunk: int) -> None:
+        for column, values in entries.items():
+            self.outputs[column].write(np.ascontiguousarray(values, COLUMNS[column]).tobytes())
+        size = len(entries["who"])
+        pieces = max(1, size // chunk)
+        self.coming += [size * (p + 1) // pieces - size * p // pieces for p in range(pieces)]
 
     def turn(self) -> None:
-        for k in range(len(self.now)):
-            for column in COLUMNS:
-                self.fs.delete_file(self._name(self.round, k, column))
-        self.now, self.next, self.round = self.next, [], self.round + 1
+        for c in COLUMNS:
+            self.outputs[c].close()
+            if c in self.inputs:
+                self.inputs[c].close()
+                self.fs.delete_file(f"{self.path}/{self.round}-{c}")
+        self.round += 1
+        self.sizes, self.coming = self.coming, []
+        self.inputs = {c: self.fs.open_input_file(f"{self.path}/{self.round}-{c}") for c in COLUMNS}
+        self.outputs = self._open()
 
     def close(self) -> None:
+        for f in (*self.outputs.values(), *self.inputs.values(), self.symbols):
+            f.close()
         self.fs.delete_dir(self.path)
 
 
@@ -142,34 +153,50 @@ def range_min(values: np.ndarray, made: tuple, lo: np.ndarray, hi: np.ndarray) -
 
 
 class SuffixOrder:
-    """Suffixes of ``strings`` (int32 arrays of at most ``MAX_LENGTH``) in order, by rounds of one symbol each."""
-
-    def __init__(self, symbols: np.ndarray, lengths: np.ndarray, folder: str, in_memory: int = IN_MEMORY, chunk: int = CHUNK):
-        if len(lengths) and int(lengths.max()) > MAX_LENGTH:
-            raise ValueError(f"a string has {int(lengths.max())} symbols, more than {MAX_LENGTH}")
-        self.lengths, self.chunk = lengths.astype(np.int64), chunk
-        self.ends = np.cumsum(self.lengths)
-        self.symbols = np.maximum(symbols, np.int32(LOWEST + 1)).astype(np.int32)
-        count = len(lengths)
-        total = count + len(symbols)
-        self.store = MemoryChunks() if total <= in_memory else FileChunks(folder)
+    """Suffixes of strings (int32 arrays of at most ``MAX_LENGTH``) in order, by rounds of one symbol each."""
+
+    def __init__(self, folder: str, chunk: int = CHUNK):
+        self.chunk = chunk
+        self.store = Files(folder)
+        self.sizes: list[np.ndarray] = []
+
+    def add(self, symbols: np.ndarray, lengths: np.ndarray) -> None:
+        """More strings, behind those before; their symbols go to the file at once."""
+        lengths = lengths.astype(np.int64)
+        if not len(lengths):
+            return
+        longest = int(lengths.max())
+        if longest > MAX_LENGTH:
+            raise ValueError(f"a string has {longest} symbols, more than {MAX_LENGTH}")
+        ends = np.cumsum(lengths)
+        rounds = np.zeros((longest, len(lengths)), np.int32)
+        nth = np.repeat(ends, lengths) - np.arange(len(symbols)) - 1
+        rounds[nth, np.repeat(np.arange(len(lengths)), lengths)] = np.maximum(symbols, np.int32(LOWEST + 1))
+        self.store.put_symbols(rounds)
+        self.sizes.append(lengths.astype(np.uint8))
+
+    def build(self) -> SuffixOrder:
+        self.lengths = np.concatenate([np.empty(0, np.uint8), *self.sizes]).astype(np.int64)
+        self.store.end_symbols()
+        count = len(self.lengths)
         # the empty suffixes, one per string and in its order
-        for a in range(0, count, chunk):
-            ids = np.arange(a, min(a + chunk, count), dtype=np.int64)
-            self.store.write({"key": LOWEST * _HALF + ids, "lcp": np.zeros(len(ids), np.uint8), "who": ids << np.int64(8) | self.lengths[ids], "bwt": np.full(len(ids), LOWEST, np.int32)})
+        for a in range(0, count, self.chunk):
+            ids = np.arange(a, min(a + self.chunk, count), dtype=np.int64)
+            self.store.write({"key": LOWEST * _HALF + ids, "lcp": np.zeros(len(ids), np.uint8), "who": ids << np.int64(8) | self.lengths[ids], "bwt": np.full(len(ids), LOWEST, np.int32)}, self.chunk)
         self.store.turn()
         self.place = np.arange(count, dtype=np.int64)
         for turn in range(1, int(self.lengths.max()) + 1 if count else 0):
             self._round(turn)
+        return self
 
     def _round(self, turn: int) -> None:
         active = np.flatnonzero(self.lengths >= turn)
-        symbol = self.symbols[self.ends[active] - turn]
+        symbol = self.store.symbols_of(turn)[active]
         tail = self.place[active]
         keys = symbol.astype(np.int64) * _HALF + tail
         order = np.argsort(keys, kind="stable")
         keys, ids, symbol, tail = keys[order], active[order], symbol[order], tail[order]
-        store, sizes = self.store, self.store.sizes()
+        store, sizes = self.store, self.store.sizes
         starts = np.concatenate(([0], np.cumsum(sizes)))
         # 1: where each new suffix goes, and the keys around that place
         at = np.empty(len(keys), np.int64)
@@ -189,11 +216,10 @@ class SuffixOrder:
         ahead = after.copy()
         ahead[joined] = keys[joined + 1]
         # 2: common prefixes with both neighbours; of those between old and old nothing changes
-        up = self._common(before, keys, starts)
         lone = np.ones(len(keys), bool)
         lone[joined] = False
         down = np.zeros(len(keys), np.uint8)
-        down[lone] = self._common(keys[lone], ahead[lone], starts)
+        up, down[lone] = np.split(self._common(np.concatenate([before, keys[lone]]), np.concatenate([keys, ahead[lone]]), starts), [len(keys)])
         # 3: merge; every place moves up by the number of suffixes put before it
         new_place = at + np.arange(len(keys))
         moved_tail = tail + np.searchsorted(at, tail, side="right")
@@ -215,7 +241,8 @@ class SuffixOrder:
             real = int(np.searchsorted(held, (LOWEST + 1) * _HALF))
             if real < size:
                 tails = held[real:] & np.int64(0xFFFFFFFF)
-                held[real:] += self._shift(at, tails, int(starts[-1]))
+                # a suffix moves up by the number of places, which are sorted, not behind its own
+                held[real:] += np.searchsorted(at, tails, side="right")
             bwt = store.read(k, "bwt").copy()
             a, b = np.searchsorted(tail[by_tail], [lo, lo + size])
             of = by_tail[a:b]
@@ -229,20 +256,11 @@ class SuffixOrder:
             for column, values, fresh in (("key", held, new_keys[new]), ("lcp", lcp, up[new]), ("who", store.read(k, "who"), who[new]), ("bwt", bwt, np.full(count, LOWEST, np.int32))):
                 out[column][old] = values
                 out[column][where] = fresh
-            pieces = max(1, (size + count) // self.chunk)
-            for piece in range(pieces):
-                cut = slice((size + count) * piece // pieces, (size + count) * (piece + 1) // pieces)
-                store.write({c: v[cut] for c, v in out.items()} if pieces > 1 else out)
+            store.write(out, self.chunk)
             done = stop
         store.turn()
         self.place[ids] = new_place
 
-    def _shift(self, at: np.ndarray, places: np.ndarray, total: int) -> np.ndarray:
-        """How many of the sorted insertion places ``at`` are not behind each of ``places``."""
-        if total <= 4 * IN_MEMORY:
-            return np.cumsum(np.bincount(at, minlength=total + 1))[places]
-        return np.searchsorted(at, places, side="right")
-
     def _common(self, first: np.ndarray, second: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Common prefix lengths of neighbours, given by their keys in the numbering before this round."""
         out = np.zeros(len(first), np.uint8)
@@ -273,7 +291,7 @@ class SuffixOrder:
 
     def entries(self) -> Iterator[dict[str, np.ndarray]]:
         """The suffixes in order: ``who`` is string << 8 | offset, ``lcp`` the common prefix with the one before."""
-        for k in range(len(self.store.sizes())):
+        for k in range(len(self.store.sizes)):
             yield {c: self.store.read(k, c) for c in COLUMNS}
 
     def close(self) -> None:
