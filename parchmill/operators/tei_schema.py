@@ -10,7 +10,9 @@ projection reads.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
+from xml.etree import ElementTree
 
 from .xml_reader import Node, blank
 
@@ -174,3 +176,115 @@ def check(node: Node, kind: str = "Tei") -> Element:
         if times == "1" and name not in out.fields:
             raise SchemaError(f"missing field `{name}`")
     return out
+
+
+class _Unusual(Exception):
+    """The quick reading cannot vouch for its result."""
+
+
+#: What the C tokenizer treats otherwise than the document rules: line ends, document types, white space inside attribute
+#: values, and namespace declarations that are read as attributes.
+_TREATED_OTHERWISE = ("\r", "<!D", "<!d")
+_BROKEN_VALUE = re.compile(r"=[ \t\n]*(?:\"[^\"<]*[\t\n]|'[^'<]*[\t\n])|xmlns:(?:type|level|when|unit|from|to|id)[ \t\n]*=")
+#: Levels from which the recursive reading decides whether a document is nested too deeply.
+_DEEP = 200
+_XML_ID = "{http://www.w3.org/XML/1998/namespace}id"
+
+
+class _Plan:
+    """A type ready for use: per local name of a child its plan and whether it may repeat."""
+
+    __slots__ = ("leaf", "names", "needed", "sequence", "text")
+
+
+def _plans() -> dict[str, _Plan]:
+    plans = {kind: _Plan() for kind in TYPES}
+    for kind, spec in TYPES.items():
+        plan = plans[kind]
+        plan.sequence = isinstance(spec, Sequence)
+        plan.text = plan.sequence or spec.text
+        plan.names = {n: (plans[t], True) for n, t in spec.variants.items()} if plan.sequence else {n: (plans[t], times == "*") for n, (t, times) in spec.fields.items()}
+        plan.needed = () if plan.sequence else tuple(n for n, (_, times) in spec.fields.items() if times == "1")
+        plan.leaf = not plan.names
+    return plans
+
+
+_PLANS = _plans()
+
+
+class _Names(dict):
+    """The local names of a tree's tags."""
+
+    def __missing__(self, tag: str) -> str:
+        name = self[tag] = tag.rpartition("}")[2]
+        return name
+
+
+def _quick(node, plan: _Plan, names: _Names, depth: int) -> Element:
+    out = Element.__new__(Element)
+    out.attributes, out.text, text = node.attrib, None, node.text
+    if plan.sequence:
+        out.fields, out.items = _NOTHING, (items := [])
+        if text and not text.isspace():
+            items.append(("$text", text))
+        known = plan.names
+        for child in node:
+            name = names[child.tag]
+            if name not in known or depth > _DEEP:
+                raise _Unusual
+            items.append((name, _quick(child, known[name][0], names, depth + 1)))
+            if (text := child.tail) and not text.isspace():
+                items.append(("$text", text))
+        return out
+    out.items = _NO_ITEMS
+    if plan.leaf and not len(node):
+        out.fields = _NOTHING
+        if text and plan.text and not text.isspace():
+            out.text = text
+        return out
+    out.fields = fields = {}
+    known, takes, last = plan.names, plan.text, None
+    if takes and text and not text.isspace():
+        out.text, last = text, "$text"
+    for child in node:
+        name = names[child.tag]
+        if name in known:
+            inner, many = known[name]
+            if depth > _DEEP:
+                raise _Unusual
+            if name not in fields:
+                fields[name] = [_quick(child, inner, names, depth + 1)]
+            elif many and last == name:
+                fields[name].append(_quick(child, inner, names, depth + 1))
+            else:
+                raise _Unusual
+        last = name
+        if takes and (text := child.tail) and not text.isspace():
+            if out.text is not None:
+                raise _Unusual
+            out.text, last = text, "$text"
+    for need in plan.needed:
+        if need not in fields:
+            raise _Unusual
+    return out
+
+
+_NOTHING: dict[str, list[Element]] = {}
+_NO_ITEMS: list[tuple[str, Element | str]] = []
+
+
+def check_quickly(source: str) -> Element | None:
+    """What :func:`check` makes of a document, from a tree that is built in C.
+
+    None for every document that the C parser or the schema rejects, or that
+    holds what the parser reads differently: the lenient tokenizer decides
+    those, and says what is wrong with them.
+    """
+    if any(x in source for x in _TREATED_OTHERWISE) or _BROKEN_VALUE.search(source):
+        return None
+    parser = ElementTree.XMLParser(encoding="utf-8")
+    try:
+        parser.feed(source.encode())
+        return _quick(parser.close(), _PLANS["Tei"], _Names(), 0)
+    except (_Unusual, ElementTree.ParseError, UnicodeEncodeError):
+        return None

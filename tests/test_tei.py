@@ -2,12 +2,16 @@
 
 import json
 import pathlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from parchmill.operators import tei_extract
 from parchmill.operators.paper import paper
 from parchmill.operators.parse import flat_or_error, with_parsed
+from parchmill.operators.tei_schema import check_quickly
 
 CASES = json.loads((pathlib.Path(__file__).parent / "tei_cases.json").read_text())
 SHELL = (
@@ -144,3 +148,25 @@ def test_lenient(spark):
         from parchmill.operators.tei_extract import flat_document
 
         flat_document("<TEI/>", "other")
+
+
+def test_both_readings_agree(monkeypatch):
+    """The quick reading against the tokenizer's tree, on the cases and on thousands of damaged and varied copies of them."""
+    rng = random.Random(4)
+    sources = [c["xml"] for c in CASES["cases"]] + [CASES["golden"]["xml"]]
+    sources += [shell(body="<div><head>a</head> x <p>b<ref/> c</p></div>", back='<div><listBibl><biblStruct xml:id="b"><monogr><title level="j"> t\u3000\u00a0 u </title><imprint><date when="2001">x</date></imprint></monogr></biblStruct></listBibl></div>')]
+    bits = ["<!-- c -->", "<![CDATA[ a<b ]]>", "<?pi x?>", "\n", "\r\n", "\t", " ", "&amp;", "&#65;", "&#13;", "&nbsp;", "&", "<p>", "</p>", "<x/>", '<title type="main">t</title>', "\u00a0", "\x1f", "<q:p>", ' a="1\n2"', ' type="x"', ' xmlns:type="z"', "<!DOCTYPE a>", "\ufeff"]
+    varied = list(sources)
+    for _ in range(6000):
+        xml = rng.choice(sources)
+        for _ in range(1 + (rng.random() < 0.2)):
+            at = rng.randint(0, len(xml))
+            tags = [m.start() for m in re.finditer("[<>]", xml)]
+            at = rng.choice(tags) + rng.randint(0, 1) if tags and rng.random() < 0.7 else at
+            xml = xml[:at] + rng.choice(bits) + xml[at:] if rng.random() < 0.7 else xml[:at] + xml[at + rng.randint(1, 30) :]
+        varied.append(xml)
+    quick = [flat_or_error(x) for x in varied]
+    assert sum(check_quickly(x) is not None for x in varied) > 500
+    monkeypatch.setattr(tei_extract, "check_quickly", lambda source: None)
+    for xml, got in zip(varied, quick, strict=True):
+        assert flat_or_error(xml) == got, xml
