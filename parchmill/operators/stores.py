@@ -7,11 +7,12 @@ is an attribute error, not a surprise at run time.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import vector
 
@@ -19,17 +20,78 @@ POINTS = "id bigint, vector array<float>, payload map<string,string>"
 
 
 class StoreError(Exception):
+    """What a store could not do; ``kind`` says which step it was."""
+
     kind = "store"
 
+    def __init__(self, message: str, **of: str) -> None:
+        super().__init__(message)
+        self.of = of
+
 
 class ConnectionFailed(StoreError):
     kind = "connection"
 
 
+class InvalidAddress(ConnectionFailed):
+    kind = "invalid_address"
+
+
+class DatabaseCheckFailed(ConnectionFailed):
+    kind = "check_database"
+
+
+class DatabaseCreationFailed(ConnectionFailed):
+    kind = "create_database"
+
+
+class DatabaseOpeningFailed(ConnectionFailed):
+    kind = "open_database"
+
+
+class ClosingFailed(ConnectionFailed):
+    kind = "close"
+
+
+class CollectionCheckFailed(ConnectionFailed):
+    kind = "check_collection"
+
+
+class CollectionCreationFailed(ConnectionFailed):
+    kind = "create_collection"
+
+
+class UpsertFailed(StoreError):
+    kind = "upsert_points"
+
+
+class QueryFailed(StoreError):
+    kind = "query"
+
+
 class TransactionFailed(StoreError):
     kind = "transaction"
 
 
+class TransactionOpeningFailed(TransactionFailed):
+    kind = "open_transaction"
+
+
+class SchemaFailed(TransactionFailed):
+    kind = "apply_schema"
+
+
+@contextmanager
+def _as(error: type[StoreError], message: str, **of: str) -> Iterator[None]:
+    """Whatever the engine raises inside becomes ``error``; what callers did wrong stays as it is."""
+    try:
+        yield
+    except (StoreError, ValueError):
+        raise
+    except Exception as e:
+        raise error(f"{message}: {str(e).splitlines()[0] if str(e) else type(e).__name__}", **of) from e
+
+
 @dataclass(frozen=True)
 class VectorConfig:
     """Where a collection lies, and its shape."""
@@ -58,13 +120,23 @@ class VectorStore:
     def connect(self) -> ConnectedVectorStore:
         """Creates the collection if there is none; the shape of an existing one is not compared."""
         store = ConnectedVectorStore(self.spark, self.config)
-        if store._version() is None:
-            store._replace(self.spark.createDataFrame([], POINTS))
+        name = self.config.collection
+        with _as(CollectionCheckFailed, f"cannot tell whether collection {name!r} exists", collection=name):
+            there = bool(store._versions())
+        if not there:
+            with _as(CollectionCreationFailed, f"cannot create collection {name!r}", collection=name):
+                store._put(self.spark.createDataFrame([], POINTS), "full")
         return store
 
 
 class ConnectedVectorStore:
-    """Versions of a Parquet table, of which one pointer file names the current one; replacing it is one rename."""
+    """A full Parquet table and the upserts since, each a small table of its own; empty files whose names are in order say which count.
+
+    An upsert writes its own points only; a read takes the newest of each id.
+    After ``COMPACT_AFTER`` upserts they become one full table again.
+    """
+
+    COMPACT_AFTER = 32
 
     def __init__(self, spark: SparkSession, config: VectorConfig) -> None:
         self.spark, self.config = spark, config
@@ -74,44 +146,68 @@ class ConnectedVectorStore:
         path = sc._jvm.org.apache.hadoop.fs.Path(self.config.path)
         return path.getFileSystem(sc._jsc.hadoopConfiguration()), sc._jvm.org.apache.hadoop.fs.Path
 
-    def _version(self) -> str | None:
+    def _versions(self) -> list[str]:
+        """The last full table and the upserts after it, in order."""
         fs, path = self._fs()
         at = path(f"{self.config.path}/current")
-        if not fs.exists(at):
-            return None
-        return sorted(s.getPath().getName() for s in fs.listStatus(at))[-1]
+        names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+        full = max((k for k, n in enumerate(names) if n.endswith("-full")), default=0)
+        return names[full:]
 
-    def _replace(self, points: DataFrame) -> None:
+    def _put(self, points: DataFrame, kind: str) -> None:
         fs, path = self._fs()
-        before = self._version()
-        turn = int(before.partition("-")[0]) + 1 if before else 0
-        name = f"{turn:012d}-{uuid.uuid4().hex}"
+        before = self._versions()
+        turn = int(before[-1].partition("-")[0]) + 1 if before else 0
+        name = f"{turn:012d}-{uuid.uuid4().hex}-{kind}"
         points.write.parquet(f"{self.config.path}/{name}")
-        # an empty file's name is the pointer: creating it is atomic, and readers take the greatest
+        # creating an empty file is atomic: from here on readers count the table
         fs.create(path(f"{self.config.path}/current/{name}")).close()
 
     def points(self) -> DataFrame:
-        return self.spark.read.schema(POINTS).parquet(f"{self.config.path}/{self._version()}")
+        versions = self._versions()
+        if not versions:
+            raise LookupError(f"there is no collection {self.config.collection!r}")
+        full, *newer = versions
+        read = lambda name: self.spark.read.schema(POINTS).parquet(f"{self.config.path}/{name}")
+        if not newer:
+            return read(full)
+        later = vector.union_all([read(n).withColumn("__pm_turn", F.lit(k)) for k, n in enumerate(newer)])
+        return vector.upsert(read(full), later, F.col("__pm_turn")).select("id", "vector", "payload")
+
+    def _upsert(self, new: Callable[[], DataFrame]) -> None:
+        name = self.config.collection
+        with _as(UpsertFailed, f"cannot put points into collection {name!r}", collection=name):
+            self._put(new(), "part")
+            if len(self._versions()) > self.COMPACT_AFTER:
+                self.compact()
 
     def upsert_point(self, id_: int, values: Sequence[float], payload: dict[str, str] | None = None) -> None:
-        self._replace(vector.upsert_one(self.points(), id_, values, payload or {}, self.config.dimension))
+        """Writes that point alone."""
+        vector.check_dimension(values, self.config.dimension)
+        self._upsert(lambda: self.spark.createDataFrame([(id_, [float(x) for x in values], payload or {})], POINTS))
 
     def upsert_points(self, new: DataFrame, version: Column | None = None) -> None:
-        """All rows of ``new``, whatever their dimension; returns when they are written."""
-        self._replace(vector.upsert(self.points(), new, version))
+        """All rows of ``new``, whatever their dimension; returns when they are written. Of rows of one id the last counts."""
+        self._upsert(lambda: vector.upsert(self.spark.createDataFrame([], POINTS), new, version).select("id", "vector", "payload"))
 
     def query(self, values: Sequence[float], limit: int) -> DataFrame:
-        return vector.top_k(self.points(), values, limit, self.config.metric, self.config.dimension)
+        name = self.config.collection
+        with _as(QueryFailed, f"cannot query collection {name!r}", collection=name):
+            return vector.top_k(self.points(), values, limit, self.config.metric, self.config.dimension)
+
+    def compact(self) -> None:
+        """One full table in place of a full table and upserts."""
+        self._put(self.points(), "full")
 
     def vacuum(self) -> None:
-        """Drop every version but the current one."""
+        """Drop every table that no longer counts."""
         fs, path = self._fs()
-        now = self._version()
+        now = self._versions()
         for s in fs.listStatus(path(self.config.path)):
-            if s.getPath().getName() not in ("current", now):
+            if s.getPath().getName() not in ("current", *now):
                 fs.delete(s.getPath(), True)
         for s in fs.listStatus(path(f"{self.config.path}/current")):
-            if s.getPath().getName() != now:
+            if s.getPath().getName() not in now:
                 fs.delete(s.getPath(), True)
 
     def disconnect(self) -> VectorStore:
@@ -132,7 +228,7 @@ class GraphConfig:
     def __post_init__(self) -> None:
         host, colon, port = self.address.rpartition(":")
         if not (host and colon and port.isdigit()):
-            raise ConnectionFailed(f"not an address: {self.address!r}")
+            raise InvalidAddress(f"not an address: {self.address!r}", address=self.address)
 
 
 class GraphStore:
@@ -141,7 +237,14 @@ class GraphStore:
 
     def connect(self) -> ConnectedGraphStore:
         """Creates the database if there is none and applies its schema, on every connect."""
-        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.config.database}`")
+        name = self.config.database
+        with _as(DatabaseCheckFailed, f"cannot tell whether database {name!r} exists", database=name):
+            there = self.spark.catalog.databaseExists(name)
+        if not there:
+            with _as(DatabaseCreationFailed, f"cannot create database {name!r}", database=name):
+                self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+        with _as(DatabaseOpeningFailed, f"cannot open database {name!r}", database=name):
+            self.spark.catalog.getDatabase(name)
         store = ConnectedGraphStore(self.spark, self.config)
         with store.transaction("schema") as run:
             for statement in self.config.schema:
@@ -158,22 +261,38 @@ class ConnectedGraphStore:
         """``run(sql)`` inside the database; a ``read`` transaction refuses statements that change something."""
         if kind not in ("read", "write", "schema"):
             raise ValueError(f"unknown transaction {kind!r}")
-        before = self.spark.catalog.currentDatabase()
-        self.spark.catalog.setCurrentDatabase(self.config.database)
+        before, name = self.spark.catalog.currentDatabase(), self.config.database
+        with _as(TransactionOpeningFailed, f"cannot open a {kind} transaction on database {name!r}", database=name, transaction=kind):
+            self.spark.catalog.setCurrentDatabase(name)
+        error = SchemaFailed if kind == "schema" else TransactionFailed
 
         def run(statement: str) -> DataFrame:
-            if kind == "read" and statement.split(None, 1)[0].lower() not in ("select", "with", "values", "table", "show", "describe"):
-                raise TransactionFailed("a read transaction cannot change data")
-            try:
+            with _as(error, "statement failed", database=name):
+                if kind == "read" and self._changes(statement):
+                    raise TransactionFailed("a read transaction cannot change data", database=name)
                 return self.spark.sql(statement)
-            except Exception as e:
-                raise TransactionFailed(str(e).split("\n")[0]) from e
 
         try:
             yield run
         finally:
             self.spark.catalog.setCurrentDatabase(before)
 
+    def _changes(self, statement: str) -> bool:
+        """Whether the statement's plan, as parsed, holds anything but a query, ``SHOW``, ``DESCRIBE`` or ``EXPLAIN``."""
+        session, java = self.spark._jsparkSession, self.spark.sparkContext._jvm.java.lang
+        logical = "org.apache.spark.sql.catalyst.plans.logical."
+        loader = java.Thread.currentThread().getContextClassLoader()
+        writes = [loader.loadClass(logical + n) for n in ("Command", "ParsedStatement")]
+
+        def any_of(plan) -> bool:
+            name = plan.getClass().getSimpleName()
+            if name.startswith(("Show", "Describe", "Explain")):
+                return False
+            children = plan.children()
+            return any(c.isInstance(plan) for c in writes) or any(any_of(children.apply(k)) for k in range(children.size()))
+
+        return any_of(session.sessionState().sqlParser().parsePlan(statement))
+
     def read_transaction(self):
         return self.transaction("read")
 

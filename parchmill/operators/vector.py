@@ -69,9 +69,9 @@ def top_k(points: DataFrame, query: Sequence[float], limit: int, metric: str = "
 def upsert(points: DataFrame, new: DataFrame, version: Column | None = None) -> DataFrame:
     """``points`` with the rows of ``new`` put in or put over, by id; of several new rows of one id the last counts.
 
-    ``version`` orders the new rows (default: as they come in one task, which
-    is only defined for a table of one partition). New rows are reduced first,
-    by id; a point of the old table is read once and not sorted.
+    ``version`` orders the new rows; by default the order of their partitions
+    and of the rows in each does. New rows are reduced first, by id; a point of
+    the old table is read once and not sorted.
     """
     nth = F.monotonically_increasing_id() if version is None else version
     last = new.withColumn("__pm_v", nth).withColumn("__pm_n", F.row_number().over(W.partitionBy("id").orderBy(F.desc("__pm_v")))).where("__pm_n = 1").drop("__pm_v", "__pm_n")

@@ -552,3 +552,7 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["sections_roundtrip"](spark, sf_dir)
+
+
+# what goes through files and stores registers itself; it needs what is above
+from . import io_queries  # noqa: E402, F401

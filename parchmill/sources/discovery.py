@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import file_stem, is_pdf
 
-PATHS = "path string"
 #: Files of one task: reading and extracting a file is costly next to listing it.
 FILES_PER_TASK = 64
 
@@ -51,7 +50,7 @@ def pdf_paths(spark: SparkSession, source: str) -> DataFrame:
     kept = sorted(p for p in found if _is_pdf(p.rpartition("/")[2]))
     if not kept:
         raise InvalidInput(f"No PDF files found in {source}")
-    return spark.createDataFrame([(p,) for p in kept], PATHS)
+    return spark.createDataFrame(pa.table({"path": pa.array(kept, pa.string())}))
 
 
 def filter_pdf(paths: DataFrame) -> DataFrame:
@@ -59,8 +58,15 @@ def filter_pdf(paths: DataFrame) -> DataFrame:
     return paths.where(is_pdf(F.col("path"))).orderBy("path")
 
 
+def file_bytes(path: str) -> bytes:
+    """A file's content, from any file system that the path names."""
+    store, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
+    with store.open_input_stream(inner) as f:
+        return f.read()
+
+
 def read_pdfs(spark: SparkSession, source: str) -> DataFrame:
-    """``path, stem, content`` of every PDF, read on the executors.
+    """``path, stem, content, error_message`` of every PDF, read on the executors; a file that cannot be read is a row with its error.
 
     Spark's own file sources skip names that begin with ``_`` or ``.``, even
     when they are named one by one; here every listed path is opened.
@@ -71,12 +77,15 @@ def read_pdfs(spark: SparkSession, source: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                store, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
-                with store.open_input_stream(inner) as f:
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], names=["path", "content"])
-
-    files = paths.repartition(tasks, "path").mapInArrow(run, "path string, content binary")
-    return files.select("path", file_stem(F.col("path")).alias("stem"), "content")
+                content = error = None
+                try:
+                    content = file_bytes(path)
+                except OSError as e:
+                    error = str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["path", "content", "error_message"])
+
+    files = paths.repartition(tasks, "path").mapInArrow(run, "path string, content binary, error_message string")
+    return files.select("path", file_stem(F.col("path")).alias("stem"), "content", "error_message")
 
 
 def read_tei(spark: SparkSession, source: str) -> DataFrame:

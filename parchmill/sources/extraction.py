@@ -2,7 +2,8 @@
 
 The service is any callable ``(path, content) -> str`` that raises
 :class:`ExtractionError`; :class:`HttpExtractor` posts to a server. Executors
-call it; the number of partitions bounds how many calls run at once.
+read a file and call the service in one pass, so no content is shuffled; the
+number of partitions bounds how many calls run at once.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 
+from .discovery import file_bytes
+
 #: Calls to the service at one time.
 MAX_CONCURRENT = 10
 SCHEMA = "path string, stem string, tei_xml string, error_kind string, error_message string"
@@ -59,19 +63,29 @@ class HttpExtractor:
             raise RequestFailed(f"request failed: {e}") from e
 
 
-def extract(pdfs: DataFrame, extractor: Extractor, concurrent: int = MAX_CONCURRENT) -> DataFrame:
-    """``path, stem, tei_xml`` or an error per PDF; one failure does not stop the others."""
+def extract(pdfs: DataFrame, extractor: Extractor, concurrent: int = MAX_CONCURRENT, done: Accumulator | None = None) -> DataFrame:
+    """``path, stem, tei_xml`` or an error per row of ``pdfs(path, stem)``; one failure, of reading too, does not stop the others.
+
+    ``concurrent`` is the number of tasks, and so of calls at one time; ``done`` counts finished documents.
+    """
+
+    def one(path: str, stem: str | None) -> tuple[str | None, ...]:
+        try:
+            content = file_bytes(path)
+        except Exception as e:
+            return path, stem, None, "read", f"failed to read PDF: {e}"
+        try:
+            return path, stem, extractor(path, content), None, None
+        except ExtractionError as e:
+            return path, stem, None, e.kind, str(e)
+        except Exception as e:  # a task that breaks is a failed document
+            return path, stem, None, "panic", f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, stem, content in zip(*(batch.column(c).to_pylist() for c in ("path", "stem", "content")), strict=True):
-                try:
-                    rows.append((path, stem, extractor(path, content), None, None))
-                except ExtractionError as e:
-                    rows.append((path, stem, None, e.kind, str(e)))
-                except Exception as e:  # a task that breaks is a failed document
-                    rows.append((path, stem, None, "panic", f"{type(e).__name__}: {e}"))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["path", "stem", "tei_xml", "error_kind", "error_message"])
-
-    return pdfs.select("path", "stem", "content").repartition(concurrent, "path").mapInArrow(run, SCHEMA)
+            for path, stem in zip(batch.column("path").to_pylist(), batch.column("stem").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.string()) for c in one(path, stem)], names=["path", "stem", "tei_xml", "error_kind", "error_message"])
+                if done is not None:
+                    done.add(1)
+
+    return pdfs.select("path", "stem").repartition(concurrent, "path").mapInArrow(run, SCHEMA)

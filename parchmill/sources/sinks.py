@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+import sys
+import threading
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import json_path, tei_path
@@ -22,25 +26,48 @@ def pretty(line: str) -> str:
     return json.dumps(json.loads(line), indent=2, ensure_ascii=False)
 
 
-def _write_files(rows: Iterator[Row], make: str | None) -> None:
-    for row in rows:
-        path = row["path"].removeprefix("file://")
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        part = f"{path}.{os.getpid()}.part"
-        with open(part, "w", encoding="utf-8", newline="") as f:
-            f.write(pretty(row["body"]) if make else row["body"])
-        os.replace(part, path)  # a retried task writes the same file anew
+def write_file(path: str, body: str) -> None:
+    """Puts a file where ``path`` says, on any file system; a retried task writes the same file anew, and no reader sees half of one."""
+    from pyarrow import fs
 
+    store, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
+    store.create_dir(inner.rpartition("/")[0], recursive=True)
+    local = isinstance(store, fs.LocalFileSystem)
+    part = f"{inner}.{uuid.uuid4().hex}.part" if local else inner  # an object becomes visible when it is whole
+    with store.open_output_stream(part) as f:
+        f.write(body.encode())
+    if local:
+        try:
+            store.move(part, inner)
+        except OSError:
+            store.delete_file(part)
+            raise
 
-def write_tei_files(docs: DataFrame, directory: str) -> None:
-    """``<directory>/<stem>.tei.xml`` with the text as it came, for every row with text (a folder that all executors see)."""
-    docs.where("tei_xml is not null").select(tei_path(directory, F.col("stem")).alias("path"), F.col("tei_xml").alias("body")).foreachPartition(lambda rows: _write_files(rows, None))
 
+def _written(files: DataFrame, indented: bool) -> DataFrame:
+    """Writes ``files(path, target, body)``; gives ``path, message`` of those that could not be written."""
 
-def write_json_files(papers: DataFrame, directory: str, path: str = "tei_path") -> None:
-    """One indented JSON file per paper; ``a.tei.xml`` becomes ``a.tei.json``."""
-    named = papers.where("paper is not null").select(json_path(directory, F.col(path)).alias("path"), paper_json(F.col("paper")).alias("body"))
-    named.foreachPartition(lambda rows: _write_files(rows, "json"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad: list[tuple[str, str]] = []
+            for path, target, body in zip(*(batch.column(c).to_pylist() for c in ("path", "target", "body")), strict=True):
+                try:
+                    write_file(target, pretty(body) if indented else body)
+                except OSError as e:
+                    bad.append((path, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([b[k] for b in bad], pa.string()) for k in (0, 1)], names=["path", "message"])
+
+    return files.select("path", "target", "body").mapInArrow(run, "path string, message string")
+
+
+def write_tei_files(docs: DataFrame, directory: str) -> DataFrame:
+    """``<directory>/<stem>.tei.xml`` with the text as it came, for every row with text, once the result is read: the failures."""
+    return _written(docs.where("tei_xml is not null").select("path", tei_path(directory, F.col("stem")).alias("target"), F.col("tei_xml").alias("body")), False)
+
+
+def write_json_files(papers: DataFrame, directory: str, path: str = "tei_path") -> DataFrame:
+    """One indented JSON file per paper, once the result is read: the failures. ``a.tei.xml`` becomes ``a.tei.json``."""
+    return _written(papers.where("paper is not null").select("path", json_path(directory, F.col(path)).alias("target"), paper_json(F.col("paper")).alias("body")), True)
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
@@ -61,6 +88,43 @@ def progress_line(completed: Column, total: Column, running: Column, most: int,
     return F.when(F.length(line) > width, F.concat(F.substring(line, 1, width - 3), F.lit("..."))).otherwise(line)
 
 
+def progress_text(completed: int, total: int, running: int, most: int, width: int = 120) -> str:
+    """:func:`progress_line` for one run."""
+    filled = completed * BAR_CELLS // total if total else BAR_CELLS
+    line = f"[{'#' * filled}{'-' * (BAR_CELLS - filled)}] {completed}/{total} | running {running}/{most}"
+    return line if len(line) <= width else line[: width - 3] + "..."
+
+
+class Progress:
+    """Redraws a line on a stream while a run goes on. ``done`` says how many documents have ended."""
+
+    def __init__(self, done: Callable[[], int], total: int, most: int, stream=None, seconds: float = 0.5) -> None:
+        self.done, self.total, self.most, self.stream, self.seconds = done, total, most, stream or sys.stderr, seconds
+        self.over = threading.Event()
+
+    def _draw(self) -> None:
+        completed = min(self.done(), self.total)
+        self.stream.write("\r\x1b[2K" + progress_text(completed, self.total, min(self.most, self.total - completed), self.most))
+        self.stream.flush()
+
+    def _run(self) -> None:
+        self._draw()
+        while not self.over.wait(self.seconds):
+            self._draw()
+
+    def __enter__(self) -> Progress:
+        self.thread = threading.Thread(target=self._run, daemon=True)
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.over.set()
+        self.thread.join()
+        self._draw()
+        self.stream.write("\r\x1b[2K")
+        self.stream.flush()
+
+
 def collapse(message: Column) -> Column:
     return F.trim(F.regexp_replace(message, r"(?U)\s+", " "))
 

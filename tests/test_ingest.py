@@ -1,15 +1,17 @@
 """Files in, files out: discovery, extraction, parsing, sinks, the log, and the stream."""
 
+import io
 import json
 import pathlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from parchmill.plans.ingest import ingest
-from parchmill.sources.discovery import InvalidInput, filter_pdf, pdf_paths, read_pdfs, read_tei
+from parchmill.sources.discovery import InvalidInput, file_bytes, filter_pdf, pdf_paths, read_pdfs, read_tei
 from parchmill.sources.extraction import ExtractionError, HttpExtractor, RequestFailed, UnsuccessfulResponse, extract
-from parchmill.sources.sinks import error_lines
+from parchmill.sources.sinks import Progress, error_lines, progress_line, progress_text, write_file
 from parchmill.streaming.watch import watch
 
 GOOD = (
@@ -113,6 +115,53 @@ def test_ingest(spark, folder, tmp_path):
     assert read_tei(spark, str(tmp_path / "tei")).count() >= 2
 
 
+def test_one_bad_file_stops_no_other(spark, folder, tmp_path):
+    """A file that cannot be read, a TEI file and a JSON file that cannot be written are errors of their documents."""
+    (folder / "x.pdf").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "tei" / "b.tei.xml").mkdir(parents=True)  # a folder stands where the file should go
+    (tmp_path / "json" / "_a.tei.json").mkdir(parents=True)
+    paths = spark.createDataFrame([(str(folder / n), n.partition(".")[0]) for n in ("b.pdf", "x.pdf")], "path string, stem string")
+    rows = {r["stem"]: r for r in extract(paths, stub).collect()}
+    assert rows["b"]["error_kind"] is None and rows["x"]["error_kind"] == "read" and rows["x"]["error_message"].startswith("failed to read PDF: ")
+    run = ingest(spark, str(folder), str(tmp_path / "tei"), str(tmp_path / "json"), str(tmp_path / "tables"), stub)
+    errors = {r["path"].rpartition("/")[2]: r["errors"] for r in run.status.collect()}
+    assert set(errors) == {"_a.PDF", "b.pdf", "c.pdf", "d.pdf", "e.pdf"} and all(len(e) == 1 for e in errors.values())
+    assert errors["b.pdf"][0].startswith("failed to write TEI XML: ") and errors["_a.PDF"][0].startswith("failed to export domain paper as JSON: ")
+    assert run.papers.where("stem = 'b'").first()["paper"] is None and run.papers.where("stem = '_a'").first()["paper"] is not None
+    assert not [p for d in ("tei", "json") for p in (tmp_path / d).rglob("*.part")]
+    assert [r["error_message"] is None for r in read_pdfs(spark, str(folder)).orderBy("path").collect()] == [True] * 5
+
+
+def test_files_go_where_the_address_says(tmp_path):
+    write_file(f"file://{tmp_path}/a/b/c.txt", "é")
+    write_file(f"{tmp_path}/a/b/c.txt", "ü")
+    assert (tmp_path / "a/b/c.txt").read_text() == "ü" and file_bytes(f"file://{tmp_path}/a/b/c.txt") == "ü".encode()
+
+
+def test_no_content_is_shuffled(spark, folder, capsys):
+    paths = spark.createDataFrame([(str(folder / "b.pdf"), "b")], "path string, stem string")
+    extract(paths, stub).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "content" not in plan
+
+
+def test_progress_is_drawn():
+    stream, done = io.StringIO(), iter(range(100))
+    with Progress(lambda: next(done), 3, 2, stream, 0.01):
+        time.sleep(0.1)
+    said = stream.getvalue()
+    assert "[------------------------] 0/3 | running 2/2" in said and "[########################] 3/3 | running 0/2" in said and said.endswith("\r\x1b[2K")
+    assert progress_text(0, 0, 0, 10) == f"[{'#' * 24}] 0/0 | running 0/10" and progress_text(1, 2, 3, 10, 20) == "[############----..."
+
+
+def test_progress_line_and_text_agree(spark):
+    rows = [(c, t, r, 10) for c in (0, 1, 7, 100) for t in (0, 7, 100) for r in (0, 10) if c <= max(t, c)]
+    df = spark.createDataFrame(rows, "c int, t int, r int, m int")
+    for width in (120, 40):
+        got = df.select("c", "t", "r", progress_line(F.least("c", "t"), F.col("t"), F.col("r"), 10, width).alias("line")).collect()
+        assert all(x["line"] == progress_text(min(x["c"], x["t"]), x["t"], x["r"], 10, width) for x in got)
+
+
 def test_twins_are_flagged(spark, tmp_path):
     for name in ("a.pdf", "a.PDF", "b.pdf"):
         (tmp_path / name).write_text("ok")

@@ -75,6 +75,13 @@ def test_vector_store(spark, tmp_path):
         store.query([1.0], 1)
     store.upsert_point(2, [1.0, 0.0])
     assert [r["id"] for r in store.query([1.0, 0.1], 5).collect()] == [2, 1]
+    written = len(list((tmp_path / "c").glob("*-part")))
+    store.upsert_point(2, [1.0, 0.0])
+    assert len(list((tmp_path / "c").glob("*-part"))) == written + 1 and len(list((tmp_path / "c").glob("*-full"))) == 1  # a point is written alone
+    store.COMPACT_AFTER = 3
+    for k in range(3):
+        store.upsert_point(2, [1.0, 0.0], {"k": str(k)})
+    assert len(store._versions()) <= 3 and {r["id"]: r["payload"] for r in store.points().collect()} == {1: {"a": "y"}, 2: {"k": "2"}}
     store.vacuum()
     again = store.disconnect().connect()
     assert again.points().count() == 2
@@ -94,6 +101,10 @@ def test_graph_store(spark):
             run("DROP VIEW people")
         with pytest.raises(TransactionFailed):
             run("SELECT * FROM nowhere")
+        for hidden in ("WITH t AS (SELECT 1 AS id) INSERT INTO people SELECT * FROM t", "FROM people INSERT INTO more SELECT *", "CREATE TABLE x (id int)", "SET a.b=1", "DROP DATABASE parchmill_test"):
+            with pytest.raises(TransactionFailed, match="cannot change"):
+                run(hidden)
+        assert run("SHOW TABLES").count() >= 1 and run("WITH t AS (SELECT * FROM people) SELECT * FROM t UNION ALL VALUES (2)").count() == 2
     with store.write_transaction() as run:
         run("CREATE OR REPLACE TEMP VIEW more AS SELECT 2 AS id")
     assert spark.catalog.currentDatabase() == "default"
