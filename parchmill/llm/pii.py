@@ -4,17 +4,20 @@ Each kind has an expression, a validator that a match must pass (Luhn for card
 numbers, mod-97 for IBANs, octet, area and entropy rules elsewhere), a base
 score, and context words that raise the score when one stands within
 ``CONTEXT_CHARS`` characters of the match. A span counts when its score reaches
-``threshold``. Overlapping spans: the higher score wins, then the longer span,
+``threshold``. Kinds that no checksum confirms and that other things look like
+(plain digits, bare hexadecimal digests) begin below it, so only context lifts
+them to it. Overlapping spans: the higher score wins, then the longer span,
 then the earlier one.
 
 Defined cases: a null or empty text has no spans; a whole text is searched,
 whatever its length; equal values in one text are separate spans; rows that
-repeat a document give their spans once per row; no row gives an empty result
+repeat a document give their spans once per row; a null doc_id stays null; no row gives an empty result
 with the full schema.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import math
 import re
 from collections import Counter
@@ -31,7 +34,7 @@ from .common import read, slices
 CONTEXT_CHARS = 40
 THRESHOLD = 0.5
 #: Every kind needs one of these characters, so other texts are not sent to Python.
-NEEDED = "[0-9@]"
+NEEDED = "[0-9@]|[A-Fa-f:]:[A-Fa-f:]"
 
 SPAN_SCHEMA = "doc_id bigint, kind string, start_char int, end_char int, value string, score double"
 
@@ -56,12 +59,29 @@ def _card(value: str) -> float:
     return 0.7 if 13 <= len(digits) <= 19 and len(set(digits)) > 1 and digits[0] in "23456" and luhn(digits) else 0.0
 
 
+#: Characters of an IBAN by country; elsewhere 15 to 34.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL SV", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+
+
 def _iban(value: str) -> float:
     bare = value.replace(" ", "")
-    return 0.9 if 15 <= len(bare) <= 34 and mod97(bare) else 0.0
+    return 0.9 if (len(bare) == IBAN_LENGTHS.get(bare[:2], len(bare))) and 15 <= len(bare) <= 34 and mod97(bare) else 0.0
 
 
 def _ip(value: str) -> float:
+    if ":" in value:
+        try:
+            ipaddress.IPv6Address(value)
+        except ValueError:
+            return 0.0
+        return 0.6 if sum(map(bool, value.split(":"))) >= 3 else 0.0
     parts = value.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
         return 0.0
@@ -73,8 +93,8 @@ def _ssn(value: str) -> float:
     return 0.6 if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000" else 0.0
 
 
-#: French pairs and German area codes: plain digits otherwise, so they need a context word.
-_NATIONAL = re.compile(r"0[0-9](?:[ .-][0-9]{2}){4}|0[0-9]{2,4}[ /-][0-9]{6,8}")
+#: French pairs, German area codes, ten American digits.
+_NATIONAL = re.compile(r"0[0-9](?:[ .-][0-9]{2}){4}|0[0-9]{2,4}[ /-][0-9]{6,8}|[2-9][0-9]{2}[2-9][0-9]{6}")
 
 
 def _phone(value: str) -> float:
@@ -83,7 +103,7 @@ def _phone(value: str) -> float:
         return 0.0
     if value.startswith("+") or "(" in value:
         return 0.6
-    return 0.4 if _NATIONAL.fullmatch(value) else 0.5
+    return 0.4  # plain digits otherwise, so they need a context word
 
 
 def _email(value: str) -> float:
@@ -98,6 +118,8 @@ def _dense(body: str) -> bool:
 
 
 def _secret(value: str) -> float:
+    if re.fullmatch("[0-9a-fA-F]+", value):
+        return 0.4 if _dense(value) else 0.0  # a digest or a revision looks the same
     # the last part, or all parts where they hold several digits
     whole = re.sub("[_-]", "", re.split("[_-]", value, maxsplit=1)[-1])
     return 0.55 if _dense(value.split("_")[-1]) or (len(re.findall("[0-9]", whole)) >= 4 and _dense(whole)) else 0.0
@@ -120,7 +142,7 @@ KINDS = (
     Kind("card", r"(?<![0-9A-Za-z.+-])[2-6][0-9]{3}[ -]?(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}|[0-9]{6}[ -]?[0-9]{5})(?![0-9A-Za-z]|[.-][0-9])", _card, r"card|visa|master|credit|kredit|carte|tarjeta"),
     Kind("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", _ssn, r"ssn|social|security|tax"),
     Kind("phone", r"(?<![0-9A-Za-z.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z]|[.-][0-9])|(?<![0-9A-Za-z.+-])(?:\+[1-9](?:[ .-]?[0-9]){9,14}|" + _NATIONAL.pattern + r")(?![0-9A-Za-z]|[.-][0-9])", _phone, r"phone|tel|call|fax|mobile|handy|tél|llama"),
-    Kind("ip", r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])", _ip, r"\bip\b|host|server|address|adresse"),
+    Kind("ip", r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])|(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])", _ip, r"\bip\b|host|server|address|adresse"),
     Kind("secret", r"(?<![0-9A-Za-z_-])(?:(?:sk|pk|ghp|gho|xox[a-z])[_-][A-Za-z0-9_-]{15,254}[A-Za-z0-9_]|AKIA[0-9A-Z]{16}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z_-])", _secret, r"token|key|secret|passw|auth|bearer"),
 )
 _COMPILED = [(k, re.compile(k.pattern), re.compile(k.context, re.IGNORECASE)) for k in KINDS]
