@@ -72,8 +72,8 @@ def _forward(m: Model, x: np.ndarray, lengths: np.ndarray, keep: list | None = N
     size = m.cand.shape[1]
     turned = np.where(np.arange(steps)[:, None] < lengths, lengths - 1 - np.arange(steps)[:, None], 0)
     both = np.stack([x, np.take_along_axis(x, turned, 0)])
-    states = np.empty((2, steps, lanes, size), np.float32)
-    h = np.zeros((2, lanes, size), np.float32)
+    states = np.empty((2, steps, lanes, size), m.table.dtype)
+    h = np.zeros((2, lanes, size), m.table.dtype)
     tables = m.table.reshape(512, -1)
     both = both + np.array([0, 256])[:, None, None]
     for t in range(steps):
@@ -137,45 +137,7 @@ def train(texts: list[bytes], langs: list[str], steps: int = STEPS, seed: int =
     draw = weight / weight.sum()
     for step in range(1, steps + 1):
         pick = rng.choice(len(rows), min(192, len(rows)), p=draw)
-        bx, by, bl = x[:, pick], y[pick], lengths[pick]
-        m = Model(labels, **p)
-        keep: list = []
-        states = _forward(m, bx, bl, keep)
-        logits = _logits(m, states)
-        e = np.exp(logits - logits.max(-1, keepdims=True))
-        prob = e / e.sum(-1, keepdims=True)
-        inside = (np.arange(WINDOW)[:, None] < bl).astype(np.float32)
-        d = prob
-        d[:, np.arange(len(pick)), by] -= 1
-        d *= (inside / np.maximum(bl, 1) / len(pick))[:, :, None]
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["bias"] = d.sum((0, 1))
-        for half in (0, 1):
-            g["out"][half * size : (half + 1) * size] = np.einsum("tbh,tbk->hk", states[half], d)
-        ds = np.stack([d @ p["out"][:size].T, d @ p["out"][size:].T])
-        turned = np.where(np.arange(WINDOW)[:, None] < bl, bl - 1 - np.arange(WINDOW)[:, None], 0)
-        back = np.take_along_axis(ds[1], turned[:, :, None], 0)
-        ds[1] = back * inside[:, :, None]
-        both = np.stack([bx, np.take_along_axis(bx, turned, 0)])
-        dh = np.zeros((2, len(pick), size), np.float32)
-        flows: list[np.ndarray] = []
-        for t in range(WINDOW - 1, -1, -1):
-            h, z, r, c = keep[t]
-            dh = dh + ds[:, t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (h - c) * z * (1 - z)
-            drh = np.matmul(dc, p["cand"].transpose(0, 2, 1))
-            dr = drh * h * r * (1 - r)
-            dzr = np.concatenate([dz, dr], -1)
-            g["cand"] += np.matmul((h * r).transpose(0, 2, 1), dc)
-            g["gates"] += np.matmul(h.transpose(0, 2, 1), dzr)
-            fixed = np.concatenate([dzr, dc], -1)
-            flows.append(fixed)
-            dh = dh * z + drh * r + np.matmul(dzr, p["gates"].transpose(0, 2, 1))
-        flow = np.stack(flows[::-1], 1).reshape(2, -1, 3 * size)
-        for half in (0, 1):
-            for k in range(3 * size):
-                g["table"][half, :, k] = np.bincount(both[half].ravel(), flow[half, :, k], 256)
+        _, g = loss_and_gradient(p, x[:, pick], y[pick], lengths[pick])
         norm = float(np.sqrt(sum((v.astype(np.float64) ** 2).sum() for v in g.values())))
         rate = 0.03 * min(1.0, 2 * (1 - step / (steps + 1)))
         for k in p:
@@ -186,6 +148,54 @@ def train(texts: list[bytes], langs: list[str], steps: int = STEPS, seed: int =
     return Model(labels, **p)
 
 
+def loss_and_gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross entropy of windows x (T, B), whose bytes count alike, and its derivatives by backpropagation through time."""
+    size, count, kind = p["cand"].shape[1], len(y), p["table"].dtype
+    m = Model([], **p)
+    keep: list = []
+    states = _forward(m, x, lengths, keep)
+    logits = _logits(m, states)
+    top = logits.max(-1, keepdims=True)
+    e = np.exp(logits - top)
+    total = e.sum(-1, keepdims=True)
+    inside = (np.arange(len(x))[:, None] < lengths).astype(kind)
+    share = (inside / np.maximum(lengths, 1) / count).astype(kind)
+    of = (slice(None), np.arange(count), y)
+    loss = float(((top[..., 0] + np.log(total[..., 0]) - logits[of]) * share).sum())
+    d = e / total
+    d[of] -= 1
+    d *= share[:, :, None]
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    g["bias"] = d.sum((0, 1))
+    for half in (0, 1):
+        g["out"][half * size : (half + 1) * size] = np.einsum("tbh,tbk->hk", states[half], d)
+    ds = np.stack([d @ p["out"][:size].T, d @ p["out"][size:].T])
+    turned = np.where(np.arange(len(x))[:, None] < lengths, lengths - 1 - np.arange(len(x))[:, None], 0)
+    back = np.take_along_axis(ds[1], turned[:, :, None], 0)
+    ds[1] = back * inside[:, :, None]
+    both = np.stack([x, np.take_along_axis(x, turned, 0)])
+    dh = np.zeros((2, count, size), kind)
+    flows: list[np.ndarray] = []
+    for t in range(len(x) - 1, -1, -1):
+        h, z, r, c = keep[t]
+        dh = dh + ds[:, t]
+        dc = dh * (1 - z) * (1 - c * c)
+        dz = dh * (h - c) * z * (1 - z)
+        drh = np.matmul(dc, p["cand"].transpose(0, 2, 1))
+        dr = drh * h * r * (1 - r)
+        dzr = np.concatenate([dz, dr], -1)
+        g["cand"] += np.matmul((h * r).transpose(0, 2, 1), dc)
+        g["gates"] += np.matmul(h.transpose(0, 2, 1), dzr)
+        fixed = np.concatenate([dzr, dc], -1)
+        flows.append(fixed)
+        dh = dh * z + drh * r + np.matmul(dzr, p["gates"].transpose(0, 2, 1))
+    flow = np.stack(flows[::-1], 1).reshape(2, -1, 3 * size)
+    for half in (0, 1):
+        for k in range(3 * size):
+            g["table"][half, :, k] = np.bincount(both[half].ravel(), flow[half, :, k], 256)
+    return loss, g
+
+
 def pooled(m: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Mean class probabilities over the bytes of each document (rows of zeros for documents without bytes)."""
     sizes = np.diff(offsets)
@@ -208,13 +218,15 @@ def pooled(m: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """Train on documents whose ``lang`` is known: of each label ``rows`` / labels, at least ``LABEL_ROWS``, or all it has, by a hash of the id."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and trim(text) <> ''")
+    """Train on documents whose ``lang`` is known: of each label ``rows`` / labels, at least ``LABEL_ROWS``, or all it has, by a hash of
+    the id. Blank texts among them are left out."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and doc_id is not null")
     order = [F.xxhash64("doc_id", F.lit(5)), "doc_id"]
     each = max(LABEL_ROWS, rows // max(1, known.select("lang").distinct().count()))
     nth = F.row_number().over(W.partitionBy("lang").orderBy(*order))
-    ids = [r["doc_id"] for r in known.select("doc_id", "lang").where("doc_id is not null").withColumn("nth", nth).where(F.col("nth") <= each).select("doc_id").distinct().collect()]
-    got = known.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.encode("text", "UTF-8").alias("bytes")).collect()
+    # ids and labels alone decide who is drawn; texts are read once, for those
+    drawn = known.select("doc_id", "lang").withColumn("nth", nth).where(F.col("nth") <= each).select("doc_id").distinct()
+    got = known.join(F.broadcast(drawn), "doc_id", "left_semi").where("trim(text) <> ''").select("doc_id", "lang", F.encode("text", "UTF-8").alias("bytes")).collect()
     if not got:
         return None
     got = list({r["doc_id"]: r for r in sorted(got, key=lambda r: (r["doc_id"], bytes(r["bytes"])))}.values())
