@@ -14,7 +14,8 @@ by a hash of the id); every document is then scored on its whole text.
 
 Defined cases: a null, empty or blank text has grade 0, p_clean 0 and is not
 selected; null ratings are left out; a document that is rated more than once
-counts with its worst rating; with no rated row every score is null and every
+counts with its worst rating; of rated rows that repeat a doc_id with differing
+texts one, the same in any order of rows, is learnt from; with no rated row every score is null and every
 document that has words is selected; repeated rows give repeated results.
 """
 
@@ -96,22 +97,14 @@ def probabilities(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return np.stack([upto[:, 0], upto[:, 1] - upto[:, 0], 1 - upto[:, 1]], 1)
 
 
-def train(ids: np.ndarray, offsets: np.ndarray, grades: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> Model:
-    """Maximum likelihood with an L2 penalty, by L-BFGS on all rows, block by block. Features seen in fewer than ``SEEN`` rows stay at 0."""
+def objective(ids: np.ndarray, offsets: np.ndarray, grades: np.ndarray, count: int, penalty: float):
+    """``loss(w)``: mean negative log likelihood with its penalty, and its derivatives.
+
+    ``w`` holds ``count`` weights (an id of ``count`` has none), the lower threshold, and the logarithm of the gap to the upper one.
+    """
     n = len(grades)
-    often = sum(np.bincount(ids[offsets[a] : offsets[min(a + STEP, n)]], minlength=SPACE) for a in range(0, n, STEP)) >= SEEN
-    names = np.flatnonzero(often)
-    # one more place, always 0, for the features that are left out
-    short = np.where(often, np.cumsum(often) - 1, len(names)).astype(np.int32)
-    ids = short[ids]
     sizes = np.diff(offsets)
     blocks = [(a, min(a + STEP, n), np.repeat(np.arange(min(STEP, n - a), dtype=np.int16), sizes[a : a + STEP])) for a in range(0, n, STEP)]
-    share = np.array([(grades <= k).mean() for k in (0, 1)]).clip(1e-3, 1 - 1e-3)
-    low = float(np.log(share[0] / (1 - share[0])))
-    gap = float(np.log(max(np.log(share[1] / (1 - share[1])) - low, 0.1)))
-    # the last two are the lower threshold and the logarithm of the gap to the upper one
-    w = np.zeros(len(names) + 2)
-    w[-2:] = low, gap
     least, most = grades == 0, grades == 2
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -126,12 +119,28 @@ def train(ids: np.ndarray, offsets: np.ndarray, grades: np.ndarray, rounds: int
         du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
         t0 = -du[least].sum() + dl[grades == 1].sum()
         t1 = -du[grades == 1].sum() + dl[most].sum()
-        flow, slope = du - dl, np.zeros(len(names) + 1)
+        flow, slope = du - dl, np.zeros(count + 1)
         for a, b, row in blocks:
-            slope += np.bincount(ids[offsets[a] : offsets[b]], flow[a:b][row], len(names) + 1)
+            slope += np.bincount(ids[offsets[a] : offsets[b]], flow[a:b][row], count + 1)
         g = np.append(slope[:-1] / n + penalty * w[:-2], [(t0 + t1) / n, t1 * (theta[1] - theta[0]) / n])
         return float(-np.log(p).mean() + 0.5 * penalty * (w[:-2] @ w[:-2])), g
 
+    return loss
+
+
+def train(ids: np.ndarray, offsets: np.ndarray, grades: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> Model:
+    """Maximum likelihood with an L2 penalty, by L-BFGS on all rows, block by block. Features seen in fewer than ``SEEN`` rows stay at 0."""
+    n = len(grades)
+    often = sum(np.bincount(ids[offsets[a] : offsets[min(a + STEP, n)]], minlength=SPACE) for a in range(0, n, STEP)) >= SEEN
+    names = np.flatnonzero(often)
+    # one more place, always 0, for the features that are left out
+    short = np.where(often, np.cumsum(often) - 1, len(names)).astype(np.int32)
+    loss = objective(short[ids], offsets, grades, len(names), penalty)
+    share = np.array([(grades <= k).mean() for k in (0, 1)]).clip(1e-3, 1 - 1e-3)
+    low = float(np.log(share[0] / (1 - share[0])))
+    gap = float(np.log(max(np.log(share[1] / (1 - share[1])) - low, 0.1)))
+    w = np.zeros(len(names) + 2)
+    w[-2:] = low, gap
     value, g = loss(w)
     memory: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(rounds):
@@ -174,24 +183,24 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
         .groupBy("doc_id")
         .agg(F.min("grade").alias("grade"))
     )
-    sample = {r["doc_id"]: r["grade"] for r in rated.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(rows).collect()}
+    sample = rated.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             ids, ends = features(binary(batch.column(1)).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["doc_id", "ids"])
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isin(list(sample)))
-    got = {r["doc_id"]: r["ids"] for r in chosen.mapInArrow(run, "doc_id bigint, ids binary").collect() if r["ids"]}
-    if not got:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()), batch.column(2)], names=["doc_id", "ids", "grade"])
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    got = chosen.select("doc_id", "text", "grade").mapInArrow(run, "doc_id bigint, ids binary, grade int").where("length(ids) > 0").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+    # of rows that repeat an id with other texts the one with the least features counts, in whatever order they came
+    keys = got.column("doc_id").to_numpy()
+    got = got.filter(pa.array(np.append(True, keys[1:] != keys[:-1])[: len(keys)]))
+    if not len(got):
         return None
-    keys = sorted(got)
-    offsets = np.concatenate(([0], np.cumsum([len(got[k]) // 4 for k in keys])))
-    ids = np.empty(offsets[-1], np.int32)
-    for k, a in zip(keys, offsets.tolist(), strict=False):
-        part = np.frombuffer(got.pop(k), np.int32)
-        ids[a : a + len(part)] = part
-    return train(ids, offsets, np.array([sample[k] for k in keys]))
+    grades = got.column("grade").to_numpy().astype(np.int64)
+    parts = [np.frombuffer(p.as_py(), np.int32) for p in got.column("ids")]
+    del got
+    return train(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts]))), grades)
 
 
 def grade(docs: DataFrame, model: Model | None, select_from: float = SELECT_FROM) -> DataFrame:
