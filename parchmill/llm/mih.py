@@ -15,6 +15,8 @@ bits * angle / pi bits, give or take. A query is settled once the searched
 radius exceeds that by ``MARGIN`` standard deviations. Wider radii reach most
 buckets of every substring, so the remaining queries meet all vectors block by
 block and are compared exactly. Nothing is capped, and every row is a query.
+Equal vectors are searched once: each of them has the same list, which holds
+the first k + 1 of every group of equal ones, without itself.
 
 Defined cases: vectors that are null, hold nulls or numbers that are not
 finite, or are zero are neither query nor answer; a row without id is left
@@ -256,11 +258,30 @@ def _search(vectors: DataFrame, d: int, count: int, k: int) -> DataFrame:
 
 def neighbours(table: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """``vec_id, neighbor_id, rank, similarity``: the k nearest others of every vector by cosine."""
-    vectors = materialize(usable(table), "mih-vectors")
+    every = materialize(usable(table), "mih-vectors")
+    named = every.select("id", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(3), "v").alias("b"))
+    one = named.groupBy("a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    equal = materialize(named.join(one.where("copies > 1"), ["a", "b"]).select("id", "rep"), "mih-equal")
+    copies = not equal.isEmpty()
+    vectors = materialize(every.join(equal.where("id <> rep").select("id"), "id", "left_anti"), "mih-distinct") if copies else every
     sizes = sorted((r["d"], r["n"]) for r in vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect())
     parts = [_search(vectors.where(F.size("v") == d), d, n, k) for d, n in sizes]
     empty = table.sparkSession.createDataFrame([], "vec_id bigint, neighbor_id bigint, rank int, similarity double")
-    return reduce(DataFrame.union, parts) if parts else empty
+    found = reduce(DataFrame.union, parts) if parts else empty
+    return _spread_out(every, equal, found, k) if copies else found
+
+
+def _spread_out(every: DataFrame, equal: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """From neighbours among distinct vectors to those among all."""
+    first = equal.withColumn("nth", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("nth") <= k + 1)
+    near = found.select("vec_id", "neighbor_id", "similarity").union(equal.select("rep", F.col("rep"), F.lit(1.0)).distinct())
+    wide = near.join(first.select(F.col("rep").alias("neighbor_id"), F.col("id").alias("member")), "neighbor_id", "left").select(F.col("vec_id").alias("rep"), F.coalesce("member", "neighbor_id").alias("n"), "similarity")
+    place = F.row_number().over(W.partitionBy("rep").orderBy(F.desc("similarity"), "n"))
+    lists = wide.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("place", "n", "similarity"))).alias("list"))
+    members = every.select("id").join(equal, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    own = F.slice(F.filter("list", lambda x: x["n"] != F.col("id")), 1, k)
+    rows = members.join(lists, "rep").select("id", F.posexplode(own).alias("at", "x"))
+    return rows.select(F.col("id").alias("vec_id"), F.col("x.n").alias("neighbor_id"), (F.col("at") + 1).alias("rank"), F.col("x.similarity").alias("similarity"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
