@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Memo, binary, ragged, read, slices, worker_kept
 
+#: Where the vocabulary lies, unless the session's ``spark.parchmill.vocabulary`` or a caller names another.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO_PIECES = 600_000
@@ -245,13 +246,14 @@ class Decoder:
         return self.bytes[ragged(self.starts[ids], lengths)], np.concatenate(([0], np.cumsum(lengths)))
 
 
-def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Token ids of ``docs(doc_id, text)``, their number, and whether decoding them gives back the very bytes.
 
     The tables (bounded by the vocabulary, not by the data) are built once and
     broadcast; the documents are not shuffled.
     """
     spark = docs.sparkSession
+    path = path or spark.conf.get("spark.parchmill.vocabulary", VOCABULARY)
     shared = spark.sparkContext.broadcast(load_tables(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
