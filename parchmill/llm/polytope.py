@@ -99,6 +99,12 @@ def buckets(x: np.ndarray, table: int, width: int, probes: int = PROBES) -> np.n
 def bucket_edges(ids: np.ndarray, x: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what the pairs of cosine >= threshold connect; rows are sorted by id."""
     n = len(ids)
+    if n * n <= _STEP:
+        # most buckets hold a few unlike vectors: all pairs at once, unless they are so many that leaders save edges
+        i, j = np.nonzero(np.triu(x @ x.T >= np.float32(threshold - 1e-4), 1))
+        if len(i) <= 4 * n:
+            good = cosine(x[i], x[j]) >= threshold
+            return ids[i[good]], ids[j[good]]
     leader = np.full(n, -1)
     u: list[np.ndarray] = []
     v: list[np.ndarray] = []
