@@ -69,6 +69,22 @@ def test_nearest_with_a_large_common_mean(spark):
     assert np.mean([sum(s[i, j] >= least[i] for j in got[i]) / 10 for i in range(len(x))]) >= 0.97
 
 
+def test_nearest_of_equal_vectors_against_sql(spark, tmp_path):
+    """Groups of two to hundreds of equal vectors, beside distinct ones."""
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(120, 16)).astype(np.float32)
+    x = np.concatenate([base, np.repeat(base[:1], 400, axis=0), np.repeat(base[1:4], 12, axis=0), base[10:20]])
+    rng.shuffle(x)
+    df = table(spark, list(enumerate(x.tolist())))
+    df.write.parquet(f"{tmp_path}/embeddings")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings/*.parquet'")
+    got = sorted((r["vec_id"], r["rank"], r["neighbor_id"], r["similarity"]) for r in mih.neighbours(df).collect())
+    assert got == sorted((v, rank, n, s) for v, n, rank, s in con.execute(mih.ORACLE).fetchall())
+
+
 def test_buckets_hold_every_code_in_the_radius():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
