@@ -185,10 +185,10 @@ class _Unusual(Exception):
 #: What the C tokenizer treats otherwise than the document rules: line ends, document types, white space inside attribute
 #: values, and namespace declarations that are read as attributes.
 _TREATED_OTHERWISE = ("\r", "<!D", "<!d")
-_BROKEN_VALUE = re.compile(r"=[ \t\n]*(?:\"[^\"<]*[\t\n]|'[^'<]*[\t\n])|xmlns:(?:type|level|when|unit|from|to|id)[ \t\n]*=")
+_BROKEN_VALUE = re.compile(r"=[ \t\n]*(?:\"[^\"<]*[\t\n]|'[^'<]*[\t\n])")
+_READ_PREFIX = re.compile(r"xmlns:(?:type|level|when|unit|from|to|id)[ \t\n]*=")
 #: Levels from which the recursive reading decides whether a document is nested too deeply.
 _DEEP = 200
-_XML_ID = "{http://www.w3.org/XML/1998/namespace}id"
 
 
 class _Plan:
@@ -280,7 +280,7 @@ def check_quickly(source: str) -> Element | None:
     holds what the parser reads differently: the lenient tokenizer decides
     those, and says what is wrong with them.
     """
-    if any(x in source for x in _TREATED_OTHERWISE) or _BROKEN_VALUE.search(source):
+    if any(x in source for x in _TREATED_OTHERWISE) or _BROKEN_VALUE.search(source) or ("xmlns:" in source and _READ_PREFIX.search(source)):
         return None
     parser = ElementTree.XMLParser(encoding="utf-8")
     try:
