@@ -4,7 +4,7 @@ Conventions of every operator here:
 
 * a null or empty text is a document without content, never an error;
 * only the named columns of a table are read, so extra columns may have any
-  name; inner columns are called ``__pm_*``;
+  name; what passes extra columns on takes its inner names from :func:`fresh`;
 * cut lineage goes through :func:`materialize`, a Parquet table in the folder
   that ``spark.checkpoint.dir`` names, which outlives a lost executor.
 """
@@ -72,6 +72,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"__pm_{name}"
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def columns(df: DataFrame) -> list[str]:
+    """All columns, quoted for ``select``."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the splitmix64 finaliser)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

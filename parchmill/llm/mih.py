@@ -19,7 +19,7 @@ Equal vectors are searched once: each of them has the same list, which holds
 the first k + 1 of every group of equal ones, without itself.
 
 Defined cases: vectors that are null, hold nulls or numbers that are not
-finite, or are zero are neither query nor answer; a row without id is left
+finite or reach 1e18, or have nothing above 1e-18 are neither query nor answer; a row without id is left
 out; of several vectors of one id the least counts; vectors of different
 lengths are searched among their like; with fewer than k others a query has
 fewer neighbours; equal cosines (6 digits) are ordered by id; an empty table

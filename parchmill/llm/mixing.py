@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, read
+from .common import columns, fresh, materialize, mix, read
 
 TEMPER = 0.7
 #: Share of all tokens that is kept at least, though scarce sources fall short of their targets then.
@@ -213,10 +213,11 @@ def sample(docs: DataFrame, temper: float = TEMPER, seed: int = SEED, group: int
 
 def drawn(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that :func:`sample` draws; of equal rows as many as were drawn."""
-    wanted = sample(docs).groupBy(F.col("k").alias("__pm_k")).agg(F.count("*").alias("__pm_n"))
-    keyed = docs.withColumn("__pm_k", row_key()).join(wanted, "__pm_k")
-    nth = F.row_number().over(W.partitionBy("__pm_k").orderBy("__pm_k"))
-    return keyed.withColumn("__pm_nth", nth).where("__pm_nth <= __pm_n").select(*[f"`{c}`" for c in docs.columns])
+    key, count, place = fresh(docs, "k", "n", "nth")
+    wanted = sample(docs).groupBy(F.col("k").alias(key)).agg(F.count("*").alias(count))
+    keyed = docs.withColumn(key, row_key()).join(wanted, key)
+    nth = F.row_number().over(W.partitionBy(key).orderBy(key))
+    return keyed.withColumn(place, nth).where(F.col(place) <= F.col(count)).select(*columns(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

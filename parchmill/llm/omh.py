@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Memo, U64, binary, components, look_up, materialize, mix, ragged, read, slices, word_hash, words_of, worker_kept
+from .common import Memo, U64, binary, columns, components, fresh, look_up, materialize, mix, ragged, read, slices, word_hash, words_of, worker_kept
 
 K = 3
 PICK = 2
@@ -413,11 +413,12 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
     Rows equal in doc_id and text are copies too, of which one stays; rows without doc_id all stay.
     """
-    gone = near_duplicates(docs).select(F.col("doc_id").alias("__pm_id"))
-    row = docs.withColumn("__pm_id", F.col("doc_id").cast("long")).withColumn("__pm_k", F.xxhash64(F.col("text").cast("string")))
-    nth = F.row_number().over(W.partitionBy("__pm_id", "__pm_k").orderBy("__pm_k"))
-    kept = row.join(gone, "__pm_id", "left_anti").withColumn("__pm_nth", nth)
-    return kept.where("__pm_nth = 1 or __pm_id is null").select(*[f"`{c}`" for c in docs.columns])
+    id_, key, place = fresh(docs, "id", "k", "nth")
+    gone = near_duplicates(docs).select(F.col("doc_id").alias(id_))
+    row = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    nth = F.row_number().over(W.partitionBy(id_, key).orderBy(key))
+    kept = row.join(gone, id_, "left_anti").withColumn(place, nth)
+    return kept.where((F.col(place) == 1) | F.col(id_).isNull()).select(*columns(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

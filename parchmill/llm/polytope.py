@@ -18,7 +18,7 @@ pairs, and the least id is kept. Equal vectors are searched once; the others
 follow it by two hashes of the vector, each in a row of its own.
 
 Defined cases: vectors that are null, hold nulls or numbers that are not
-finite, or are zero belong to no group; vectors of different lengths never
+finite or reach 1e18, or have nothing above 1e-18 belong to no group; vectors of different lengths never
 meet; a row without id is left out; of several vectors of one id the least
 counts; an empty table gives an empty result.
 """

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 
 def usable(table: DataFrame) -> DataFrame:
-    """``id, v`` with one row per id: vectors without nulls, of finite numbers and not all zero. Of several vectors of one id the least stays."""
+    """``id, v`` with one row per id: vectors without nulls, of numbers below 1e18 in absolute value, one of them at least above 1e-18
+    (beyond these, single precision cannot hold a vector's length). Of several vectors of one id the least stays."""
     v = F.col("embedding").cast("array<float>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e18)))
     rows = table.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: F.abs(x) > F.lit(1e-18)))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, h string, k int, id string, root string, key string, text_1 string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, h string, k int, id string, root string, __pm_k string, __PM_nth string"
 
 
 def prose(seed, words):

@@ -1,5 +1,8 @@
 """Nearest neighbours and near-dedup of vectors, the cube method, and the pipeline."""
 
+import base64
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -336,8 +339,43 @@ def test_mixing_odd_rows(spark, odd, none, odd_rows):
 # the pipeline ------------------------------------------------------------------
 
 
+def edit_similarity(a, b):
+    """1 - edit distance / longer, of word lists: one row after another, each in array operations."""
+    ids = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
+    y = np.array([ids[w] for w in b])
+    row = np.arange(len(b) + 1)
+    for i, w in enumerate(a, 1):
+        step = np.minimum(row[1:] + 1, row[:-1] + (y != ids[w]))
+        new = np.concatenate(([i], step))
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def brute_copies(rows):
+    """Ids that are not the least of their group of texts of edit similarity 0.8, by comparing all pairs."""
+    words = {i: [w for w in (x.strip(omh._EDGES).casefold() for x in t.split()) if w] for i, t in rows}
+    ids = sorted(i for i, w in words.items() if w)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    bags = {i: Counter(words[i]) for i in ids}
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            longer = max(len(words[i]), len(words[j]))
+            if min(len(words[i]), len(words[j])) >= 0.8 * longer and (bags[i] & bags[j]).total() >= 0.8 * longer and edit_similarity(words[i], words[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i for i in ids if find(i) != i}
+
+
 def test_pipeline_by_hand(spark, documents):
-    """Each stage against its operator applied row by row in plain Python."""
+    """Each stage against plain Python: the network row by row, all pairs for copies, redaction, the mixture's targets, the public encoder."""
+    import tiktoken
+
     docs = documents
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language", "near_copies", "personal_data", "mixture", "tokens"]
@@ -349,9 +387,11 @@ def test_pipeline_by_hand(spark, documents):
     first = {r["doc_id"]: r for r in one.collect()}
     assert set(first) == accepted and all(first[i] == before[i] for i in first)
     two = stages["near_copies"](spark, one, SF)
-    removed = {r["doc_id"] for r in omh.near_duplicates(one).collect()}
     second = {r["doc_id"]: r for r in two.collect()}
-    assert two.columns == docs.columns and set(second) == accepted - removed and removed and all(second[i] == before[i] for i in second)
+    copies = brute_copies([(i, before[i]["text"]) for i in accepted])
+    gone = accepted - set(second)
+    assert two.columns == docs.columns and all(second[i] == before[i] for i in second)
+    assert copies and gone <= copies and len(gone) >= 0.9 * len(copies)
     three = stages["personal_data"](spark, two, SF)
     third = {r["doc_id"]: r for r in three.collect()}
     assert three.columns == docs.columns and set(third) == set(second)
@@ -359,10 +399,22 @@ def test_pipeline_by_hand(spark, documents):
         assert r["text"] == pii.redact(before[i]["text"]) and r["n_chars"] == (before[i]["n_chars"] if r["text"] == before[i]["text"] else len(r["text"]))
     four = stages["mixture"](spark, three, SF)
     fourth = {r["doc_id"]: r for r in four.collect()}
-    assert four.columns == docs.columns and set(fourth) == {r["doc_id"] for r in mixing.sample(three).collect()} and all(fourth[i] == third[i] for i in fourth)
-    encoder = bpe.BatchEncoder(bpe.load_tables())
-    for r in corpus_pipeline.run(spark, SF).collect():
-        assert r["token_ids"] == encoder.encode([third[r["doc_id"]]["text"]])[0].tolist() and r["round_trip"]
+    assert four.columns == docs.columns and set(fourth) <= set(third) and all(fourth[i] == third[i] for i in fourth)
+    tokens = {i: len(r["text"].split()) for i, r in third.items()}
+    of = {}
+    for i, r in third.items():
+        of.setdefault(r["source"], []).append(i)
+    rates = brute_rates([(s, len(ids), sum(tokens[i] for i in ids)) for s, ids in of.items()])
+    for s, ids in of.items():
+        drawn = [i for i in ids if i in fourth]
+        assert abs(len(drawn) - rates[s] * len(ids)) <= 2
+        assert abs(sum(tokens[i] for i in drawn) - rates[s] * sum(tokens[i] for i in ids)) <= 2 * max(tokens[i] for i in ids)
+    with open(bpe.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    public = tiktoken.Encoding("public", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"] for r in rows} == set(fourth)
+    assert all(r["token_ids"] == public.encode_ordinary(third[r["doc_id"]]["text"]) and r["round_trip"] for r in rows)
 
 
 def test_pipeline_odd_rows(spark, odd, none):
