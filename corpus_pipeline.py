@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmill.llm import bpe, langid, mixing, omh, pii
-from parchmill.llm.common import materialize, read
+from parchmill.llm.common import columns, fresh, materialize, read
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network knows; a missing ``lang`` is filled in."""
-    found = docs.withColumn("__pm_lang", langid.accepted_language(spark, F.col("text"), langid.fit(docs)))
-    return found.where("__pm_lang is not null").withColumn("lang", F.coalesce("lang", "__pm_lang")).select(*[f"`{c}`" for c in docs.columns])
+    (name,) = fresh(docs, "lang")
+    found = docs.withColumn(name, langid.accepted_language(spark, F.col("text"), langid.fit(docs)))
+    return found.where(F.col(name).isNotNull()).withColumn("lang", F.coalesce("lang", name)).select(*columns(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +28,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with personal data masked; ``n_chars`` follows the text."""
-    masked = docs.withColumn("__pm_text", pii.redacted(F.col("text")))
-    same = F.col("text").eqNullSafe(F.col("__pm_text"))
-    return masked.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("__pm_text").cast("long"))).withColumn("text", F.col("__pm_text")).select(*[f"`{c}`" for c in docs.columns])
+    (name,) = fresh(docs, "text")
+    masked = docs.withColumn(name, pii.redacted(F.col("text")))
+    same = F.col("text").eqNullSafe(F.col(name))
+    length = F.when(same, F.col("n_chars")).otherwise(F.length(name).cast("long"))
+    return masked.withColumn("n_chars", length).withColumn("text", F.col(name)).select(*columns(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
