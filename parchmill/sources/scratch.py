@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -23,9 +24,12 @@ def scratch_folder(spark: SparkSession, tag: str) -> str:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="parchmill-"))
         base = _own[0]
-    folder = f"{base.rstrip('/')}/parchmill/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/parchmill/{sc.applicationId}/{tag}-{uuid.uuid4().hex}")
+    # a folder without a scheme lies on the cluster's default file system
+    folder = re.sub("^file:/+", "file:///", path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString())
     atexit.register(_delete, spark, folder)
-    return folder if "://" in folder else f"file://{folder}"
+    return folder
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
