@@ -11,9 +11,6 @@ Conventions of every operator here:
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -23,51 +20,24 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_folder
+
 #: Bytes of text that one step of a Python worker holds as Python objects.
 CHUNK_BYTES = 3_000_000
 #: Distinct words that a worker remembers before it starts afresh.
 MEMO_WORDS = 400_000
 
 U64 = np.uint64
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one for local mode only."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="parchmill-"))
-        spark.sparkContext.setCheckpointDir(_own_dir[0])
-    return _own_dir[0]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor depend on executors."""
     spark = df.sparkSession
-    path = scratch(spark, tag)
+    path = scratch_folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new name in the shared folder; what is written there is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/parchmill/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    if sc._jsc is None or sc._jsc.sc().isStopped():
-        return
-    target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -37,7 +37,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Memo, binary, look_up, materialize, mix, ragged, read, scratch, slices, word_hash, words_of, worker_kept
+from ..sources.scratch import scratch_folder
+from .common import U64, Memo, binary, look_up, materialize, mix, ragged, read, slices, word_hash, words_of, worker_kept
 from .spans import keyed
 from .suffix import SuffixOrder
 
@@ -198,7 +199,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     texts = base.join(first, base["d"].eqNullSafe(first["d"]) & base["k"].eqNullSafe(first["k"])).select(base["d"], base["k"], "text", "x").dropDuplicates(["d", "k"])
     contents = texts.select("d", "k", "text", "x").mapInArrow(_contents, "m bigint, d bigint, k bigint, s int, c int, w binary")
     # ascending, a null id first, as everywhere: of equal runs the least place is the first
-    folder = scratch(docs.sparkSession, "suffix")
+    folder = scratch_folder(docs.sparkSession, "suffix")
     ordered = contents.repartition("m").sortWithinPartitions("m", "d", "k", "s").mapInArrow(_covered(folder), "d bigint, k bigint, s int, e int")
     return copies.union(ordered)
 
