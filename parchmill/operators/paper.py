@@ -52,7 +52,8 @@ def identifiers(bibl: Column) -> Column:
     """DOI, ISBN and ISSN: the work's own first, then the article's, every volume's and the series'."""
     none = F.expr("cast(array() as array<struct<type:string,level:string,text:string>>)")
     all_ = F.concat(*[F.coalesce(x, none) for x in (bibl["idnos"], bibl["analytic"]["idnos"], F.flatten(F.transform(bibl["monogrs"], lambda m: m["idnos"])), bibl["series_idnos"])])
-    return F.struct(*[identifier(all_, k.upper()).alias(k) for k in ("doi", "isbn", "issn")])
+    # one element that goes through a step: the list is put together once for the three
+    return first(F.transform(F.array(all_), lambda x: F.struct(*[identifier(x, k.upper()).alias(k) for k in ("doi", "isbn", "issn")])))
 
 
 def core(d: Column) -> Column:

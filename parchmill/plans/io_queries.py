@@ -126,7 +126,7 @@ def error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label::VARCHAR AS label FROM embeddings UNION ALL SELECT -1, embedding::DOUBLE[], 'one' FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
     q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
     l AS (SELECT id, p.e, CASE WHEN id % 3 = 0 AND id >= 0 THEN 'new ' || label ELSE label END AS label FROM p)
-    SELECT id, label, round(list_cosine_similarity(l.e, q.e), 6) AS score, (SELECT count(*) FROM l) AS points FROM l, q ORDER BY score DESC, id LIMIT 25""",
+    SELECT id, label, round(list_cosine_similarity(l.e, q.e), 6) AS score, (SELECT count(*) FROM l) AS points FROM l, q ORDER BY list_cosine_similarity(l.e, q.e) DESC, id LIMIT 25""",
 )
 def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A collection made, filled, put over in part and by one point, closed, opened again and asked."""
@@ -161,6 +161,7 @@ def graph_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         except stores.StoreError as e:
             refused = (e.kind, str(e))
     store.disconnect()
+    spark.sql("DROP DATABASE parchmill_graph CASCADE")
     return rows.union(spark.createDataFrame([(-1, *refused)], "k bigint, a string, b string"))
 
 
