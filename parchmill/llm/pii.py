@@ -33,8 +33,6 @@ from .common import read, slices
 
 CONTEXT_CHARS = 40
 THRESHOLD = 0.5
-#: Every kind needs one of these characters, so other texts are not sent to Python.
-NEEDED = "[0-9@]|[A-Fa-f:]:[A-Fa-f:]"
 
 SPAN_SCHEMA = "doc_id bigint, kind string, start_char int, end_char int, value string, score double"
 
@@ -199,6 +197,11 @@ def redact(text: str | None, threshold: float = THRESHOLD) -> str | None:
     return "".join([*out, text[at:]])
 
 
+def _needed(text: Column) -> Column:
+    """Every kind needs a digit, an ``@`` or a colon between hexadecimal letters, so other texts are not sent to Python."""
+    return text.rlike("[0-9@]") | (text.contains(":") & text.rlike("[A-Fa-f:]:[A-Fa-f:]"))
+
+
 def pii_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per confirmed span of ``docs(doc_id, text)``. No shuffle: texts with no digit and no ``@`` stay in the JVM."""
 
@@ -209,7 +212,7 @@ def pii_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "kind", "start_char", "end_char", "value", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(NEEDED)).mapInArrow(run, SPAN_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(_needed(F.col("text"))).mapInArrow(run, SPAN_SCHEMA)
 
 
 def redacted(text: Column, threshold: float = THRESHOLD) -> Column:
@@ -219,7 +222,7 @@ def redacted(text: Column, threshold: float = THRESHOLD) -> Column:
     def run(values: pa.Array) -> pa.Array:
         return pa.array([redact(v, threshold) for v in values.to_pylist()], pa.string())
 
-    return F.when(text.rlike(NEEDED), run(F.when(text.rlike(NEEDED), text))).otherwise(text)
+    return F.when(_needed(text), run(F.when(_needed(text), text))).otherwise(text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
