@@ -2,13 +2,17 @@
 
 import base64
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parchmill.llm import bpe, langid, mih, mixing, omh, pii, polytope
+from parchmill.sources.scratch import scratch_folder
 
 from .conftest import SF, SCHEMA, prose, row
 
@@ -85,9 +89,65 @@ def test_nearest_of_equal_vectors_against_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings/*.parquet'")
     got = sorted((r["vec_id"], r["rank"], r["neighbor_id"], r["similarity"]) for r in mih.neighbours(df).collect())
+    assert got == sorted((v, rank, n, s) for v, n, rank, s in con.execute(mih.oracle(1)).fetchall())
+    got = sorted((r["vec_id"], r["rank"], r["neighbor_id"], r["similarity"]) for r in mih.neighbours(df, step=mih.STEP).collect())
     assert got == sorted((v, rank, n, s) for v, n, rank, s in con.execute(mih.ORACLE).fetchall())
 
 
+def test_nearest_needs_disk_in_proportion(spark, tmp_path):
+    """Shuffled and written: a few times the vectors, however many blocks there are; each query's list is the exact one."""
+    x = np.random.default_rng(12).normal(size=(20_000, 32)).astype(np.float32)
+    x[5000:5040] = x[0] + np.random.default_rng(13).normal(scale=0.05, size=(40, 32))
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}), f"{tmp_path}/embeddings.parquet")
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    folders = [Path(str(f)) for f in local] + [Path(scratch_folder(spark, "test").removeprefix("file://")).parent]
+    used = lambda: sum(f.stat().st_size for at in folders for f in at.rglob("*") if f.is_file())
+    before = used()
+    got = {}
+    for r in mih.query(spark, str(tmp_path)).collect():
+        got.setdefault(r["vec_id"], {})[r["rank"]] = r["neighbor_id"]
+    assert used() - before < 4 * x.nbytes
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    assert sorted(got) == list(range(0, len(x), mih.STEP))
+    for i, mine in got.items():
+        s = np.round(u @ u[i], 6)
+        s[i] = -2
+        assert [mine[n] for n in range(1, 11)] == np.lexsort((np.arange(len(x)), -s))[:10].tolist()
+
+
+def test_more_equal_vectors_than_are_indexed(spark):
+    """Every query of a group of equal vectors lists those of the least ids, whether it is indexed itself or not; other vectors list them too."""
+    x = np.random.default_rng(14).normal(size=(300, 16)).astype(np.float32)
+    x[100:200] = x[100]
+    x[200:211] = x[200]
+    got = {}
+    for r in mih.neighbours(table(spark, list(enumerate(x.tolist()))), step=5).collect():
+        got.setdefault(r["vec_id"], {})[r["rank"]] = (r["neighbor_id"], r["similarity"])
+    s = np.round(cosines(x), 6)
+    assert sorted(got) == list(range(0, 300, 5))
+    for i, mine in got.items():
+        best = np.lexsort((np.arange(300), -s[i]))[:10]
+        assert [mine[n][0] for n in range(1, 11)] == best.tolist() and [mine[n][1] for n in range(1, 11)] == pytest.approx(s[i, best], abs=2e-6)
+
+
+def test_steps_and_blocks_leave_the_result_alone():
+    """Tiny steps, ties across them, fewer answers than places: as sorting everything."""
+    rng = np.random.default_rng(15)
+    v = rng.integers(-1, 2, size=(400, 4)).astype(np.float32)
+    v = v[np.abs(v).sum(1) > 0]
+    ids = rng.permutation(len(v)).astype(np.int64)
+    for k, n in ((10, len(v)), (10, 8), (3, 5)):
+        best = mih._Best(ids[:60], v[:60], k)
+        mih._scan(best, ((ids[a : min(a + 37, n)], v[a : min(a + 37, n)]) for a in range(0, n, 37)))
+        s = np.round(cosines(v), 6)
+        rows = best.rows()
+        got = list(zip(*(rows.column(c).to_pylist() for c in range(3)), strict=True))
+        want = [(ids[i], ids[j], s[i, j]) for i in range(60) for j in np.lexsort((ids[:n], -s[i, :n])) if j != i]
+        seen = Counter()
+        want = [w for w in want if seen.update([w[0]]) or seen[w[0]] <= k]
+        assert got == want
+
+
 def test_buckets_hold_every_code_in_the_radius():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
