@@ -38,3 +38,8 @@ def tei_date(date: Column) -> Column:
 def first_date(dates: Column) -> Column:
     """The first of the dates that can be read."""
     return first(F.filter(F.transform(dates, tei_date), lambda d: d.isNotNull()))
+
+
+def first_year_of(dates: Column) -> Column:
+    """The year of :func:`first_date`, without its month and day: a date can be read if its year can."""
+    return first(F.array_compact(F.transform(dates, lambda d: first_year(F.coalesce(d["when"], d["text"])))))

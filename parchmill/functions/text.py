@@ -6,9 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_ODD = r"\t-\r\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of Unicode White_Space that collapsing changes: a single blank stays. Named one by one they are found faster than by
+#: their property.
+_RUN = f"[{_ODD}][{_ODD} ]*| [{_ODD} ]+"
+
+
 def normalize_ws(text: Column) -> Column:
     """Unicode white space collapsed to single blanks and trimmed; null stays null."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, _RUN, " "))
 
 
 def normalized_opt(text: Column) -> Column:
